@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, sentencepiece_codec, token_store, url_filters
+from . import decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_store, toxicity, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.jaccard_classes(_read(spark, sf_dir, "documents"), width=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(_read(spark, sf_dir, "documents"))
 
@@ -21,19 +27,46 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filters(_read(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filters": op3_url_filters,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": url_filters.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": jaccard_join.oracle(),
+    "op3_url_filters": url_filters.oracle(),
+    "op5_line_dedup": line_dedup.oracle(),
+    "op8_decontaminate": decontaminate.oracle(),
+}

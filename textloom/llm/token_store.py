@@ -57,9 +57,7 @@ class Encoder:
         self.odd = regex.compile(r"\s ")
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        new = list(dict.fromkeys(pieces))
         extra = {}
         for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
             (self.known if len(p) <= 48 else extra)[p] = np.array(e.ids, self.kind).tobytes()
@@ -67,6 +65,8 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         cut: list[list[str]] = []
+        if len(self.known) > self.most:
+            self.known.clear()
         for t in texts:
             if not t:
                 cut.append([])
