@@ -1,4 +1,64 @@
-STAGES = []
+"""A cleaning pipeline over documents in five stages; each reads what the one before has kept.
+
+Every stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import decontaminate, jaccard_join, line_dedup, quality_rules, sentencepiece_codec
+from textloom.llm.common import hold
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the word counts or the compression bands reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on ten sites or more leave the texts; n_chars follows the text."""
+    out = line_dedup.line_dedup(docs).drop("n_lines", "n_removed")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents that share four fifths of their five-word shingles, the one with the smallest id stays.
+
+    Documents without words, and rows without an id, stay.
+    """
+    classes = jaccard_join.jaccard_classes(docs, width=5, percent=80)
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents a twentieth of whose words stand in benchmark windows go."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids): the SentencePiece ids of each text that is left."""
+    return sentencepiece_codec.encode(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("SentencePiece encoding", encoded),
+]
+
+#: SQL can express neither the compression bands nor the encoding.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = hold(docs)
+    return docs
