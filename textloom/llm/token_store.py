@@ -39,11 +39,19 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of the tokenizers library for whole texts. A text is cut before spaces that follow no white space: there
-    the library's own pre-tokenizer cuts as well, so that the ids of the pieces in a row are the ids of the text.
-    Pieces that come again keep their ids (at most `most`, then anew); texts with white space before a space go in whole."""
+    """Ids of the tokenizers library for whole texts, put together from those of their pieces, many texts at a time.
 
-    def __init__(self, path: str, width: int = 2, most: int = 300_000):
+    Pieces begin at a space or line feed. Where that stands alone between other characters, the library's own
+    pre-tokenizer cuts before it as well, so that the ids of the pieces in a row are the ids of the text. Arrow splits
+    the texts and numbers their distinct pieces; the library sees each piece once, as long as it is among the `most`
+    pieces that are kept. Texts with other white space around a space or line feed, or at their ends, go to it in whole.
+    """
+
+    #: So many new pieces make one text for the library; its time for each grows with the text.
+    JOIN = 40
+    ODD = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}](?:[ \n]|\z)|\A[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
+
+    def __init__(self, path: str, width: int = 2, most: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,34 +59,68 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.width, self.kind, self.most = width, f"<u{width}", most
-        self.known: dict[str, bytes] = {}
-        import regex
-
-        self.odd = regex.compile(r"\s ")
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        new = list(dict.fromkeys(pieces))
-        extra = {}
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self.known if len(p) <= 48 else extra)[p] = np.array(e.ids, self.kind).tobytes()
-        return extra
+        self.size_of = np.ones(self.tok.get_vocab_size(), "i8")  # byte-level pieces spell a byte by one character
+        for piece, i in self.tok.get_vocab().items():
+            self.size_of[i] = len(piece)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No piece is known: `number` has each piece's place in `start` and `length`, these its ids in `ids`."""
+        self.number: dict[str, int] = {}
+        self.start, self.length, self.ids = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, self.kind)
+
+    def alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces from the library, JOIN of them as one text, cut by the bytes that each id stands for."""
+        groups = [pieces[k : k + self.JOIN] for k in range(0, len(pieces), self.JOIN)]
+        found = self.alone(["".join(g) for g in groups])
+        ids = np.concatenate(found)
+        ends = np.cumsum(self.size_of[ids])
+        want = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), "i8", len(pieces)))
+        at = np.searchsorted(ends, want)
+        if at[-1] != len(ids) - 1 or (ends[at] != want).any():  # an id across two pieces: ask for each
+            found = self.alone(pieces)
+            ids, stops = np.concatenate(found), np.cumsum([len(f) for f in found])
+        else:
+            stops = at + 1
+        length = np.diff(stops, prepend=0)
+        self.number.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + stops - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids])
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str]] = []
-        if len(self.known) > self.most:
-            self.known.clear()
-        for t in texts:
-            if not t:
-                cut.append([])
-            elif self.odd.search(t):
-                cut.append([t])
-            else:
-                first, *rest = t.split(" ")
-                cut.append([*([first] if first else []), *[" " + p for p in rest]])
-        extra = self._learn([p for c in cut for p in c if p not in self.known])
-        known = self.known
-        get = (lambda p: known[p] if p in known else extra[p]) if extra else known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        """Ids of each text as bytes; null and empty texts have none."""
+        import pyarrow.compute as pc
+
+        out = [b""] * len(texts)
+        column = pa.array(texts, pa.large_string())
+        odd = pc.fill_null(pc.match_substring_regex(column, self.ODD), False).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(odd).tolist()
+        for i, ids in zip(whole, self.alone([texts[i] for i in whole]), strict=True):
+            out[i] = ids.tobytes()
+        rest = np.flatnonzero([bool(t) and not o for t, o in zip(texts, odd.tolist(), strict=True)])
+        if not len(rest):
+            return out
+        # a line feed in front makes the first word a piece like others; its id is left out again
+        split = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in rest.tolist()], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        spell = [p if p[:1] == "\n" else " " + p for p in distinct]
+        if len(self.number) > self.most:
+            self._forget()
+        if new := [p for p in spell if p not in self.number]:
+            self._learn(new)
+        place = np.fromiter(map(self.number.__getitem__, spell), "i8", len(spell))[coded.indices.to_numpy()]
+        start, length = self.start[place], self.length[place]
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
+        last = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        for i, a, b in zip(rest.tolist(), last[:-1].tolist(), last[1:].tolist(), strict=True):
+            out[i] = ids[a + 1 : b].tobytes()
+        return out
 
 
 _POWERS = np.ones(1, "u8"), np.ones(1, "u8")
@@ -174,8 +216,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         part = TaskContext.get().partitionId()
         end = np.array([end_id], kind).tobytes()
         for b in it:
-            for k in range(0, b.num_rows, 500):
-                some = b.slice(k, 500)
+            for k in range(0, b.num_rows, 2000):
+                some = b.slice(k, 2000)
                 cols: tuple[list, ...] = ([], [], [], [], [], [])
                 for i, raw in zip(some.column(0).to_pylist(), enc.batch(some.column(1).to_pylist()), strict=True):
                     ids = np.frombuffer(raw + end, kind)
