@@ -1,0 +1,166 @@
+"""Sentences by rule over tokens, and their words. Pure rules first, then the Arrow UDF that applies them row by row.
+
+Every token becomes one letter: w for a token with a letter or number, e for a mark that ends a sentence, m for another
+mark, o for an opener, E for an ending mark that begins with an opener. A sentence is then a regular expression over
+these letters, and a text's sentences are its matches.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..vocab import CLOSERS, EDGE_MARKS, NEW_SENTENCE_OPENERS, OPENERS_ONLY, SENTENCE_SETS, SYMBOLS, check_lang
+from .readings import tr_abbreviation
+
+BOUNDARY = re.compile(r"[^w]*w[^eE]*[eE]")
+SENTENCE = re.compile(r"[^w]*w[^eE]*[eE][em]*")
+CHUNK = re.compile(r"\S+")
+
+
+def has_alnum(token: str) -> bool:
+    return any(map(str.isalnum, token))
+
+
+def rule_tokens(text: str) -> list[str]:
+    """Numbers with inner marks, words with inner apostrophes or hyphens, runs of dots, single other characters."""
+    import regex
+
+    from ..vocab import TOKEN as pattern
+
+    return regex.compile(pattern).findall(text)
+
+
+def code(tokens: Sequence[str], kind: str = "default", lang: str = "tr") -> str:
+    """The letters of the tokens under one of the three sets of ending marks."""
+    ends, maybe = SENTENCE_SETS[kind]
+    out: list[str] = []
+    n = len(tokens)
+    for i, t in enumerate(tokens):
+        if has_alnum(t):
+            out.append("w")
+            continue
+        ending = any(c in ends for c in t)
+        if ending and lang == "tr" and t == ".":
+            word = next((tokens[j] for j in range(i - 1, -1, -1) if out[j] == "w"), "")
+            if tr_abbreviation(word) is not None:
+                after = next((x for x in tokens[i + 1 :] if has_alnum(x)), None)
+                ending = after is None or after[:1].isupper()
+        elif not ending and maybe and any(c in maybe for c in t):
+            after = tokens[i + 1] if i + 1 < n else None
+            ending = after is None or after[0] in NEW_SENTENCE_OPENERS or (has_alnum(after) and after[0].isupper())
+        opener = t[0] in OPENERS_ONLY
+        out.append(("E" if opener else "e") if ending else "o" if opener else "m")
+    return "".join(out)
+
+
+def count(tokens: Sequence[str], kind: str = "default", lang: str = "tr") -> int:
+    """Sentences under a set of marks; words behind the last ending mark are one more."""
+    letters = code(tokens, kind, lang)
+    found = list(BOUNDARY.finditer(letters))
+    return len(found) + ("w" in letters[found[-1].end() if found else 0 :])
+
+
+def spans(tokens: Sequence[str], lang: str = "tr") -> list[tuple[int, int]]:
+    """Token ranges of the default sentences; they cover all tokens. Marks behind an ending one stay with it, but for
+    openers; marks behind the last sentence belong to it."""
+    letters = code(tokens, "default", lang)
+    out = [m.span() for m in SENTENCE.finditer(letters)]
+    rest = out[-1][1] if out else 0
+    if rest < len(letters):
+        if out and "w" not in letters[rest:]:
+            out[-1] = (out[-1][0], len(letters))
+        else:
+            out.append((rest, len(letters)))
+    return out
+
+
+def units(text: str, lang: str) -> list[tuple[str, bool, int, int]]:
+    """(unit, is it a word, start and end of its chunk) of a text, by the rule of text.units."""
+    parts = list(CHUNK.finditer(text))
+    out = []
+    for i, m in enumerate(parts):
+        raw = m.group()
+        u = raw.strip(EDGE_MARKS)
+        if not u:
+            continue
+        if lang == "tr" and u.isdigit():
+            after = raw[raw.index(u) + len(u) :]
+            if after.startswith(".,") or (after == "." and i + 1 < len(parts) and has_alnum(parts[i + 1].group())):
+                u += "."
+        if has_alnum(u):
+            out.append((u, True, m.start(), m.end()))
+        elif all(c in SYMBOLS for c in u):
+            out.append((u, False, m.start(), m.end()))
+    return out
+
+
+def words(text: str, lang: str) -> list[str]:
+    return [u for u, is_word, _, _ in units(text, lang) if is_word]
+
+
+def starts_of(text: str, tokens: Sequence[str]) -> list[int]:
+    """Where each token stands, searched for from the end of the one before."""
+    out, at = [], 0
+    for t in tokens:
+        i = text.find(t, at)
+        if i < 0:
+            raise ValueError(f"token {t!r} is not in the text from offset {at} on: tokens and text don't belong together")
+        out.append(i)
+        at = i + len(t)
+    return out
+
+
+def slices(text: str, tokens: Sequence[str], ranges: Sequence[tuple[int, int]]) -> list[str]:
+    """The text cut at the sentences' starts; a start inside a chunk moves back to its white space, but not past the
+    last word of the sentence before."""
+    if not ranges:
+        return []
+    starts = starts_of(text, tokens)
+    cuts = [0]
+    for (a, b), (start, _) in zip(ranges, ranges[1:], strict=False):
+        floor = next((starts[k] + len(tokens[k]) for k in range(b - 1, a - 1, -1) if has_alnum(tokens[k])), starts[a])
+        cut = starts[start]
+        while cut > floor and not text[cut - 1].isspace():
+            cut -= 1
+        cuts.append(cut)
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def asks(tokens: Sequence[str]) -> bool:
+    """Whether the last cluster of marks of a sentence, closers left out, holds a question mark."""
+    for t in reversed(tokens):
+        bare = t.rstrip(CLOSERS)
+        if bare:
+            return "?" in bare[len(bare.rstrip("".join(c for c in set(bare) if not c.isalnum()))) :]
+    return False
+
+
+SCHEMA = "struct<words: array<array<string>>, chars: array<int>, asks: array<boolean>, n_default: int, n_kincaid: int, n_cetinkaya: int>"
+
+
+def sentence_column(text: Column, tokens: Column | None, lang: str) -> Column:
+    """Of each text its default sentences: their words, lengths in code points (tokens joined by spaces), whether they
+    ask; and the number of sentences under each set of marks. Null tokens are taken by rule."""
+    check_lang(lang)
+
+    def one(t: str | None, toks) -> dict:
+        t = t or ""
+        toks = rule_tokens(t) if toks is None else list(toks)
+        ranges = spans(toks, lang)
+        return {
+            "words": [words(s, lang) for s in slices(t, toks, ranges)],
+            "chars": [len(" ".join(toks[a:b])) for a, b in ranges],
+            "asks": [asks(toks[a:b]) for a, b in ranges],
+            **{f"n_{k}": count(toks, k, lang) for k in SENTENCE_SETS},
+        }
+
+    @F.pandas_udf(SCHEMA)
+    def run(ts: pd.Series, ks: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t, k) for t, k in zip(ts, ks, strict=True)], columns=["words", "chars", "asks", "n_default", "n_kincaid", "n_cetinkaya"])
+
+    return run(text, F.lit(None).cast("array<string>") if tokens is None else tokens)
