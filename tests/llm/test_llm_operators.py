@@ -56,7 +56,7 @@ def brute_classes(texts, width, percent):
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("width,percent,hot", [(3, 90, 64), (5, 80, 64), (2, 70, 2)])
+@pytest.mark.parametrize("width,percent,hot", [(3, 90, 64), (5, 80, 64), (2, 70, 2), (2, 60, 1)])
 def test_jaccard_classes(spark, width, percent, hot):
     rng = random.Random(1)
     base = [[rng.choice(WORDS) for _ in range(50)] for _ in range(4)]

@@ -3,13 +3,14 @@
 Documents with the same set form one class. A class's shingles are put in one global order, rare before common; two
 sets of Jaccard similarity t can only link if the first n - ceil(t n) + 1 shingles of each, their prefixes, share one.
 Classes with identical prefixes and size form one group. Groups meet through the shingles of their prefixes and pass
-the length and position filters as pairs; only then are they expanded into their members, and each pair of classes is
+the length, position and signature filters as pairs; only then are they expanded into their members, and each pair of classes is
 verified on whole sets.
 
-A shingle that many groups hold in their prefix would make a pair of each two of them. There, first, every group is
-verified against two pivots only; the links make components, and afterwards only groups outside the shingle's largest
-component are compared with the others: pairs inside a component can add no connection. So no link between different
-components is lost, and a large group of near copies costs a few passes over its members.
+A shingle that many groups hold in their prefix would make a pair of each two of them. There, first, the groups are
+verified against a few pivots only, in rounds: the links make components, and the next pivots come from outside the
+shingle's largest one. Afterwards only groups outside of it are compared with the others, as pairs inside a component
+can add no connection. So no link between different components is lost, and a large group of near copies costs a few
+passes over its members.
 
 The order comes from a sketch of fixed size that counts all shingles of all documents in `SLOTS` counters; ties go by
 the shingle's hash. Any order gives the same links; a good one only keeps the candidates few.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, batch, components, hold
@@ -79,24 +80,19 @@ def least_overlap(n1, n2, percent: int):
     return F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n, node, slice, counts): a row for each document; and for each task its part of the sketch."""
+def _scan(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(slice, counts): of each task its part of the sketch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SLOTS, "u4")
         for b in it:
-            n, node = [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, width)
-                n.append(len(s))
-                node.append(set_hash(s) if len(s) else None)
-                np.add.at(sketch, _slots(s), 1)
-            yield batch(doc_id=b.column(0), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()), slice=pa.nulls(len(n), pa.int32()), counts=pa.nulls(len(n), pa.binary()))
-        used = [i for i in range(SLICES) if sketch.reshape(SLICES, -1)[i].any()]
-        rows = [sketch.reshape(SLICES, -1)[i].tobytes() for i in used]
-        yield batch(doc_id=pa.nulls(len(used), pa.int64()), n=pa.nulls(len(used), pa.int64()), node=pa.nulls(len(used), pa.int64()), slice=pa.array(used, pa.int32()), counts=pa.array(rows, pa.binary()))
+            for t in b.column(0).to_pylist():
+                np.add.at(sketch, _slots(shingles(t, width)), 1)
+        parts = sketch.reshape(SLICES, -1)
+        used = [i for i in range(SLICES) if parts[i].any()]
+        yield batch(slice=pa.array(used, pa.int32()), counts=pa.array([parts[i].tobytes() for i in used], pa.binary()))
 
-    return arrow_pass(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, n long, node long, slice int, counts binary")
+    return arrow_pass(docs.select(text_col), run, "slice int, counts binary")
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
@@ -111,38 +107,54 @@ def _sketch(scan: DataFrame) -> np.ndarray:
         rows = [np.minimum(v, 0xFFFFFFFF).astype("u4").tobytes() for v in total.values()]
         yield batch(slice=pa.array(list(total), pa.int32()), counts=pa.array(rows, pa.binary()))
 
-    parts = scan.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
+    parts = scan.repartition(SLICES, "slice")
     sketch = np.zeros((SLICES, SLOTS // SLICES), "u4")
     for r in arrow_pass(parts, add, "slice int, counts binary").collect():
         sketch[r["slice"]] = np.frombuffer(r["counts"], "u4")
     return sketch.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, text_col: str, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(node, n, prefix): of every document with words, the first shingles in the order of the sketch."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """Four 64-bit integers: of each of 256 classes of shingles, whether the set has an odd number of them.
+
+    Sets that differ in d shingles differ in d bits at most, so that more bits than a link allows rule it out.
+    """
+    bits = np.bincount((s & np.uint64(255)).astype("i8"), minlength=256) & 1
+    return np.packbits(bits.astype("u1"), bitorder="little").view("i8")
+
+
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
+    """(doc_id, text_hash, n, node, prefix, s0..s3), a row for each row of docs: the set's size and name, its first
+    shingles in the order of the sketch, and its signature. A set that the task has seen already has no prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shared.value
+        count, seen = shared.value, set()
         for b in it:
-            node, n, prefix = [], [], []
-            for t in b.column(0).to_pylist():
+            node, n, prefix, sig = [], [], [], []
+            for t in b.column(2).to_pylist():
                 s = shingles(t, width)
                 k = len(s)
-                if not k:
+                n.append(k)
+                node.append(h := set_hash(s) if k else None)
+                if not k or h in seen:
+                    prefix.append(None)
+                    sig.append((None,) * 4)
                     continue
+                if len(seen) < 500_000:
+                    seen.add(h)
                 take = k - -(-percent * k // 100) + 1
-                seen = count[_slots(s)]
-                node.append(set_hash(s))
-                n.append(k)
-                prefix.append(s[np.lexsort((s, seen))[:take]].view("i8").tolist())
-            yield batch(node=pa.array(node, pa.int64()), n=pa.array(n, pa.int64()), prefix=pa.array(prefix, pa.list_(pa.int64())))
+                prefix.append(s[np.lexsort((s, count[_slots(s)]))[:take]].view("i8"))
+                sig.append(signature(s).tolist())
+            sigs = {f"s{i}": pa.array([x[i] for x in sig], pa.int64()) for i in range(4)}
+            yield batch(doc_id=b.column(0), text_hash=b.column(1), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()), prefix=pa.array(prefix, pa.list_(pa.int64())), **sigs)
 
-    return arrow_pass(docs.select(text_col), run, "node long, n long, prefix array<long>")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text_col)
+    return arrow_pass(d, run, "doc_id long, text_hash long, n long, node long, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
-def _filter_bits(nodes: DataFrame) -> bytes:
-    """A bit for each hash class of the nodes: FILTER_BITS bits at most, whatever their number."""
+def _filter_bits(hashes: DataFrame) -> bytes:
+    """A bit for each class of the column `hash`: FILTER_BITS bits at most, whatever the number of rows."""
     slices = 16
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,44 +165,66 @@ def _filter_bits(nodes: DataFrame) -> bytes:
                 bits.setdefault(i, np.zeros(FILTER_BITS // slices, "u1"))[at] = 1
         yield batch(slice=pa.array(list(bits), pa.int32()), bits=pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary()))
 
-    bit = F.pmod("node", F.lit(FILTER_BITS))
-    some = nodes.select(bit.alias("bit")).distinct().repartition(slices, (F.col("bit") / F.lit(FILTER_BITS // slices)).cast("int"))
+    bit = F.pmod("hash", F.lit(FILTER_BITS))
+    some = hashes.select(bit.alias("bit")).distinct().repartition(slices, (F.col("bit") / F.lit(FILTER_BITS // slices)).cast("int"))
     out = np.zeros((slices, FILTER_BITS // slices // 8), "u1")
     for r in arrow_pass(some, pack, "slice int, bits binary").collect():
         out[r["slice"]] = out[r["slice"]] | np.frombuffer(r["bits"], "u1")
     return out.tobytes()
 
 
-def _sets(docs: DataFrame, text_col: str, width: int, bits: bytes) -> DataFrame:
-    """(node, shingles) of the documents whose bit is set, each class once."""
+def _wanted(docs: DataFrame, text_col: str, bits: bytes) -> DataFrame:
+    """(hash, text): each text whose hash has its bit set, once."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, seen = np.unpackbits(np.frombuffer(shared.value, "u1")), set()
         for b in it:
-            node, sets = [], []
-            for t in b.column(0).to_pylist():
-                s = shingles(t, width)
-                if len(s) and have[(h := set_hash(s)) % FILTER_BITS] and h not in seen:
-                    if len(seen) < 500_000:
-                        seen.add(h)
-                    node.append(h)
-                    sets.append(s.view("i8").tolist())
-            yield batch(node=pa.array(node, pa.int64()), shingles=pa.array(sets, pa.list_(pa.int64())))
+            hashes = b.column(0).to_numpy()
+            wanted = have[hashes % FILTER_BITS].astype(bool)
+            for i in np.flatnonzero(wanted).tolist():
+                if (h := int(hashes[i])) in seen:
+                    wanted[i] = False
+                elif len(seen) < 500_000:
+                    seen.add(h)
+            yield b.filter(pa.array(wanted))
+
+    return arrow_pass(docs.select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")), run, "hash long, text string").groupBy("hash").agg(F.first("text").alias("text"))
 
-    return arrow_pass(docs.select(text_col), run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
+def _with_texts(docs: DataFrame, text_col: str, hashes: DataFrame) -> DataFrame:
+    """(hash, text) of the texts whose hash is in the column `hash`, and of some more."""
+    return _wanted(docs, text_col, _filter_bits(hashes))
 
-def _verified(docs: DataFrame, text_col: str, width: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of classes, those whose whole sets link."""
-    bits = _filter_bits(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-    if not any(bits):
-        return pairs
-    sets = _sets(docs, text_col, width, bits)
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
+
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs (a, b, ha, hb) of classes and their texts' hashes, (a, b) of those whose whole sets link.
+
+    The texts travel, not the sets: they are a third of the size, and a set is cut again where it is needed.
+    """
+    both = pairs.join(texts.toDF("ha", "ta"), "ha").join(texts.toDF("hb", "tb"), "hb").select("a", "b", "ta", "tb")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            s = kept.get(node)
+            if s is None:
+                if len(kept) >= 2000:
+                    kept.clear()
+                s = kept[node] = shingles(text.as_py(), width)
+            return s
+
+        for some in it:
+            a, b, ta, tb = (some.column(i) for i in range(4))
+            link = []
+            for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+                sa, sb = of(x, ta[i]), of(y, tb[i])
+                common = len(np.intersect1d(sa, sb, assume_unique=True))
+                link.append(100 * common >= percent * (len(sa) + len(sb) - common))
+            yield some.select([0, 1]).filter(pa.array(link, pa.bool_()))
+
+    return arrow_pass(both, run, "a long, b long")
 
 
 def _expand(group_pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -200,57 +234,95 @@ def _expand(group_pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = 64) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = 4, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, node, component_id), a row for each row of docs.
 
     Two documents link when 100 * |A and B| >= percent * |A or B|; component_id is the smallest id that links reach.
     Null and empty texts have no shingles, no node, and their own id as component. A null id never becomes a
     component's id unless all of its are null. Repeated rows stay, each with the same component. Ids are integers;
-    other columns are left aside. `hot` is from how many groups on a prefix shingle is first met by pivots.
+    other columns are left aside. Shingles that more than `hot` groups hold are met by pivots first, in `rounds` rounds
+    at most; both only bear on the work, not on the result.
     """
-    spark: SparkSession = docs.sparkSession
-    scan = hold(_scan(docs, id_col, text_col, width))
-    rows = scan.where("slice is null").select("doc_id", "n", "node")
-    prefixes = _prefixes(docs, text_col, width, percent, _sketch(scan)).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    members = hold(prefixes.withColumn("gid", F.xxhash64("n", "prefix")))
-    groups = members.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size"), F.min("node").alias("low"))
-    posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "tok"))
+    sketch = _sketch(_scan(docs, text_col, width))
+    scan = hold(_prefixes(docs, id_col, text_col, width, percent, sketch))
+    rows = scan.select("doc_id", "n", "node")
+    sig = [f"s{i}" for i in range(4)]
+    gid = F.xxhash64("n", "prefix").alias("gid")
+    classes = hold(scan.where("prefix is not null").select("node", "n", gid, "text_hash", *sig).groupBy("node", "n", "gid").agg(F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in sig)))
+    texts, members = classes.select("node", "text_hash"), classes.select("node", "gid")
+    # the signature of a group of several is no one's: such groups pass
+    one = F.count("*") == 1
+    groups = hold(classes.groupBy("gid").agg(F.first("n").alias("n"), F.count("*").alias("size"), F.min("node").alias("low"), *(F.when(one, F.first(c)).alias(c) for c in sig)))
+    # dealt out by shingle once; members of a group, and repeats of a class, give the same rows
+    posted = scan.where("prefix is not null").select(gid, F.posexplode("prefix").alias("pos", "tok")).repartition("tok").groupBy("tok", "gid").agg(F.first("pos").alias("pos"))
     shared = posted.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    postings = hold(posted.join(shared, "tok"))
+    postings = hold(posted.join(shared, "tok").join(groups.select("gid", "n", *sig), "gid"))
 
     def fits(p: DataFrame) -> DataFrame:
-        """The length filter, and the bound on the overlap by the places of the common shingle."""
+        """The length filter, the bound on the overlap by the places of the common shingle, and the signatures' bound."""
         n1, n2 = F.col("n1"), F.col("n2")
+        overlap = least_overlap(n1, n2, percent)
         rest = F.least(n1 - F.col("pos1"), n2 - F.col("pos2"))
-        return p.where((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (rest >= least_overlap(n1, n2, percent)))
-
-    side = lambda p, i, *more: p.select("tok", *more, *(F.col(c).alias(f"{c}{i}") for c in ("gid", "n", "pos")))
-    # pivots: of the shingles that many groups hold, and the first members of groups of several
-    busy = postings.where(F.col("df") > hot)
-    ends = busy.groupBy("tok").agg(F.min_by(F.struct("gid", "n", "pos"), "gid").alias("lo"), F.max_by(F.struct("gid", "n", "pos"), "gid").alias("hi"))
-    pivots = ends.select("tok", F.explode(F.array("lo", "hi")).alias("p")).select("tok", "p.*")
-    met = fits(side(pivots, 1).join(side(busy, 2), "tok").where("gid1 <> gid2")).select(F.col("gid1").alias("g1"), F.col("gid2").alias("g2")).distinct()
+        differ = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in sig[1:]), F.bit_count(F.col("s01").bitwiseXOR(F.col("s02"))))
+        near = F.coalesce(differ <= n1 + n2 - 2 * overlap, F.lit(True))
+        return p.where((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (rest >= overlap) & near)
+
+    side = lambda p, i, *more: p.select("tok", *more, *(F.col(c).alias(f"{c}{i}") for c in ("gid", "n", "pos", *sig)))
+    hashed = lambda pairs: pairs.join(texts.toDF("a", "ha"), "a").join(texts.toDF("b", "hb"), "b")
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    def group_components(known: DataFrame) -> DataFrame:
+        """(gid, lo, hi): least and greatest component of a group's members."""
+        placed = members.join(known, "node", "left").select("gid", F.coalesce("comp", "node").alias("comp"))
+        return placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+
+    def marked(some: DataFrame, of_groups: DataFrame) -> DataFrame:
+        """Postings with the component of their group; a group whose members disagree is its own."""
+        comp = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.xxhash64("gid")).alias("comp")
+        return some.join(of_groups.select("gid", comp), "gid")
+
+    def outside(some: DataFrame) -> DataFrame:
+        """Postings that aren't in their shingle's largest component: each pair of components has one of these."""
+        main = some.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+        return some.join(main, "tok").where("comp <> main")
+
+    # rounds of pivots where many groups hold a shingle, over the texts of those groups
+    busy = hold(postings.where(F.col("df") > hot))
+    own = members.join(groups.where("size > 1").select("gid", "low"), "gid").where("node <> low").select(*ordered(F.col("low"), F.col("node")))
+    involved = members.join(busy.select("gid"), "gid", "left_semi").select("node").unionByName(own.select(F.col("a").alias("node"))).unionByName(own.select(F.col("b").alias("node")))
+    busy_texts = hold(_with_texts(docs, text_col, texts.join(involved, "node", "left_semi").select(F.col("text_hash").alias("hash"))))
+    links = hold(_linked(hashed(own), busy_texts, width, percent))
+    known = components(links)
     first_of = groups.select("gid", "low")
-    pivot_pairs = met.join(first_of.toDF("g1", "x"), "g1").join(first_of.toDF("g2", "y"), "g2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    own = members.join(groups.where("size > 1").select("gid", "low"), "gid").where("node <> low").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"))
-    early = hold(_verified(docs, text_col, width, percent, hold(pivot_pairs.unionByName(own).distinct())))
-    known = components(early)
-
-    # a group's component, where all its members agree; else its own
-    placed = members.join(known, "node", "left").select("gid", F.coalesce("comp", "node").alias("comp"))
-    group_comp = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.xxhash64("gid")).alias("comp"))
-    marked = postings.join(group_comp, "gid")
-    main = marked.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    left = marked.join(main, "tok").where("comp <> main")
-    pairs = side(left, 1, F.col("comp").alias("comp1")).join(side(marked, 2, F.col("comp").alias("comp2")), "tok").where("comp1 <> comp2")
+    entry = F.struct("gid", "n", "pos", *sig, "comp")
+    for round_ in range(rounds):
+        now = hold(marked(busy, group_components(known)))
+        picks = outside(now).groupBy("tok").agg(*(F.min_by(entry, F.xxhash64("gid", F.lit(4 * round_ + i))).alias(f"p{i}") for i in range(4)))
+        pivots = picks.select("tok", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(4))))).alias("p")).select("tok", "p.*")
+        met = fits(side(pivots, 1, F.col("comp").alias("comp1")).join(side(now, 2, F.col("comp").alias("comp2")), "tok").where("comp1 <> comp2"))
+        met = met.select(*ordered(F.col("gid1"), F.col("gid2"))).distinct().toDF("g1", "g2")
+        pairs = met.join(first_of.toDF("g1", "x"), "g1").join(first_of.toDF("g2", "y"), "g2").select(*ordered(F.col("x"), F.col("y")))
+        new = hold(_linked(hashed(pairs), busy_texts, width, percent))
+        if new.isEmpty():
+            break
+        links = hold(links.unionByName(new))
+        known = components(links)
+
+    # all that is left to compare, in whole
+    of_groups = hold(group_components(known))
+    now = hold(marked(postings, of_groups))
+    pairs = side(outside(now), 1, F.col("comp").alias("comp1")).join(side(now, 2, F.col("comp").alias("comp2")), "tok").where("comp1 <> comp2")
     found = fits(pairs).select(F.least("gid1", "gid2").alias("g1"), F.greatest("gid1", "gid2").alias("g2")).distinct()
-    split = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    late = _expand(found.unionByName(split), members).join(early, ["a", "b"], "left_anti")
-    links = early.unionByName(_verified(docs, text_col, width, percent, hold(late)))
-    known = components(links)
-
-    keyed = rows.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    keyed = hold(keyed)
+    split = of_groups.where("lo <> hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
+    late = hold(hashed(_expand(found.unionByName(split), members)))
+    hashes = late.select(F.col("ha").alias("hash")).unionByName(late.select(F.col("hb").alias("hash")))
+    links = _linked(late, _with_texts(docs, text_col, hashes), width, percent)
+    # the components so far are nodes now: many links between two of them are one edge
+    at = lambda d, c: d.join(known.toDF(c, f"_{c}"), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    merged = components(at(at(links, "a"), "b").where("a <> b").distinct()).toDF("comp", "_comp")
+
+    keyed = rows.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(merged, "comp", "left")
+    keyed = hold(keyed.withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp"))
     least = keyed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least_id"))
     out = keyed.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
