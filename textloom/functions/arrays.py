@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 Lambda = Callable[[Column], Column]
 
 
+def let(value: Column, f: Lambda) -> Column:
+    """f of a value that is worked out once: an expression named inside a lambda would be worked out for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(array: Column, f: Lambda = lambda x: x) -> Column:
     """Sum of f over an array, in array order; 0.0 for an empty one."""
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + f(x).cast("double"))

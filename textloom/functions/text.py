@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..vocab import EDGE_MARKS, SPACE_CLASS, SYMBOLS, TOKEN
+from .arrays import let
 
 NAN = float("nan")
 ALNUM = r"[\p{L}\p{N}]"
@@ -63,9 +64,8 @@ def units(text: Column, lang: str) -> Column:
     In Turkish, a number keeps its dot where it is an ordinal: before a comma, or before another word.
     """
     strip = lambda c: F.btrim(c, F.lit(EDGE_MARKS))
-    cs = chunks(text)
-    if lang == "tr":
 
+    def ordinals(cs: Column) -> Column:
         def unit(c: Column, i: Column) -> Column:
             u = strip(c)
             after = F.substring(c, F.instr(c, u) + F.length(u), F.length(c))
@@ -73,9 +73,9 @@ def units(text: Column, lang: str) -> Column:
             dot = after.startswith(".") & ((F.substring(after, 2, 1) == ",") | ((after == ".") & follows))
             return F.when(_digits(u) & dot, F.concat(u, F.lit("."))).otherwise(u)
 
-        us = F.transform(cs, unit)
-    else:
-        us = F.transform(cs, strip)
+        return F.transform(cs, unit)
+
+    us = let(chunks(text), ordinals) if lang == "tr" else F.transform(chunks(text), strip)
     return F.filter(us, lambda u: u.rlike(ALNUM) | u.rlike(f"^[{SYMBOLS}]+$"))
 
 

@@ -80,18 +80,16 @@ def mattr(gaps: Column, n: Column, window: int) -> Column:
     return F.when(n >= 2 * window, T.rounded(A.total(gaps, windows) / (last * window), 5)).otherwise(T.nan())
 
 
-def heaps(gaps: Column, n: Column, points: int) -> Column:
-    """Slope of ln V on ln N over `points` prefixes."""
-    first = F.transform(F.filter(gaps, lambda x: x["prev"].isNull()), lambda x: x["p"])
+def with_heaps(df: DataFrame, gaps: str, n: Column, points: int) -> DataFrame:
+    """Add heaps_beta, the slope of ln V on ln N over `points` prefixes. Each step is a column, so that none is worked
+    out again inside a lambda."""
+    df = df.withColumn("_first", F.transform(F.filter(gaps, lambda x: x["prev"].isNull()), lambda x: x["p"]))
     cuts = F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: F.floor(k * n / points))
-    xy = F.transform(cuts, lambda c: F.struct(F.ln(c.cast("double")).alias("x"), F.ln(A.count(first, lambda q: q <= c).cast("double")).alias("y")))
-    return F.when(n >= points, T.rounded(slope(xy, F.lit(points)), 4)).otherwise(T.nan())
-
-
-def slope(xy: Column, n: Column) -> Column:
-    """Least squares slope over array<struct<x, y>>, about the means."""
-    mx, my = A.total(xy, lambda t: t["x"]) / n, A.total(xy, lambda t: t["y"]) / n
-    return A.total(xy, lambda t: (t["x"] - mx) * (t["y"] - my)) / A.total(xy, lambda t: (t["x"] - mx) * (t["x"] - mx))
+    df = df.withColumn("_xy", F.transform(cuts, lambda c: F.struct(F.ln(c.cast("double")).alias("x"), F.ln(A.count(F.col("_first"), lambda q: q <= c).cast("double")).alias("y"))))
+    df = df.withColumn("_m", F.struct((A.total(F.col("_xy"), lambda t: t["x"]) / points).alias("x"), (A.total(F.col("_xy"), lambda t: t["y"]) / points).alias("y")))
+    m, xy = F.col("_m"), F.col("_xy")
+    slope = A.total(xy, lambda t: (t["x"] - m["x"]) * (t["y"] - m["y"])) / A.total(xy, lambda t: (t["x"] - m["x"]) * (t["x"] - m["x"]))
+    return df.withColumn("heaps_beta", F.when(n >= points, T.rounded(slope, 4)).otherwise(T.nan())).drop("_first", "_xy", "_m")
 
 
 def msttr(words: str, n: Column, size: int) -> Column:
@@ -114,7 +112,8 @@ def with_lexical(df: DataFrame, words: str, blank: Column, p: FeatureParams = DE
         df = A.with_occurrences(df, words, "_occurrences")
         df = df.withColumn("_gaps", A.gaps("_occurrences"))
         made["mattr"] = mattr(F.col("_gaps"), n, p.mattr_window)
-        made["heaps_beta"] = heaps(F.col("_gaps"), n, p.heaps_points)
+        if want("heaps_beta"):
+            df = with_heaps(df, "_gaps", n, p.heaps_points)
     if want("mtld"):
         made["mtld"] = T.rounded(sampled.mtld_column(F.col(words), p), 4)
     if want("vocd_d"):

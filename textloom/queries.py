@@ -133,7 +133,7 @@ SELECT d.doc_id, {_r('s', 4)} AS heaps_beta FROM documents d LEFT JOIN (SELECT d
 )
 def lexical_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.with_occurrences(worded(documents(spark, sf_dir)), "_w", "_o").withColumn("_g", A.gaps("_o"))
-    return nulls(d.withColumn("heaps_beta", lexical.heaps(F.col("_g"), F.size("_w"), 20)), "doc_id", "heaps_beta")
+    return nulls(lexical.with_heaps(d, "_g", F.size("_w"), 20), "doc_id", "heaps_beta")
 
 
 @query(
@@ -176,12 +176,11 @@ def zipf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {words_sql()}, {_RANKS}, q AS (SELECT unnest(range(0, 101)) / 10.0::DOUBLE AS q),
 z AS (SELECT doc_id, q, count(*) AS v, regr_syy(ln(f), ln(r + q)) - regr_sxy(ln(f), ln(r + q)) * regr_sxy(ln(f), ln(r + q)) / regr_sxx(ln(f), ln(r + q)) AS e, abs(regr_slope(ln(f), ln(r + q))) AS s FROM rk, q GROUP BY doc_id, q),
 b AS (SELECT doc_id, arg_min(q, (round(e, 9), q)) AS q, arg_min(s, (round(e, 9), q)) AS s FROM z WHERE v >= 10 GROUP BY doc_id)
-SELECT d.doc_id, {_r('q', 4)} AS zipf_mandelbrot_q, {_r('s', 3)} AS zipf_mandelbrot_s FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id"""
+SELECT d.doc_id, {_r('q', 4)} AS zipf_mandelbrot_q, {_r('s', 4)} AS zipf_mandelbrot_s FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id"""
 )
 def zipf_mandelbrot(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.with_frequencies(worded(documents(spark, sf_dir)), "_w", "_f")
-    d = frequency.with_zipf(d, "_f").withColumn("zipf_mandelbrot_s", T.rounded(F.col("zipf_mandelbrot_s"), 3))
-    return nulls(d, "doc_id", "zipf_mandelbrot_q", "zipf_mandelbrot_s")
+    return nulls(frequency.with_zipf(d, "_f"), "doc_id", "zipf_mandelbrot_q", "zipf_mandelbrot_s")
 
 
 _CURVE = f"""x AS (SELECT doc_id, f, r, lag(f) OVER (PARTITION BY doc_id ORDER BY r) AS prev, lead(f) OVER (PARTITION BY doc_id ORDER BY r) AS next FROM rk),
@@ -193,12 +192,11 @@ k AS (SELECT h.*, fh, lh, floor(rr * 1e6 + 0.5) / 1e6 AS rr, floor(((v + 1 - 2 *
 
 @query(
     f"""WITH {words_sql()}, {_RANKS}, {_CURVE}
-SELECT d.doc_id, h AS h_point, {_r('1 - (fh / n - h * h / (2 * n))', 5)} AS vocab_richness_r1, {_r('1 - gini', 6)} AS vocab_richness_r4, rr AS repeat_rate,
+SELECT d.doc_id, h AS h_point, {_r('1 - (fh / n - h * h / (2 * n))', 6)} AS vocab_richness_r1, {_r('1 - gini', 6)} AS vocab_richness_r4, rr AS repeat_rate,
  {_r('(1 - sqrt(rr)) / (1 - 1 / sqrt(v))', 6, 'v > 1')} AS rr_mcintosh, gini AS gini_coef FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id"""
 )
 def h_point_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = frequency.with_curve(A.with_frequencies(worded(documents(spark, sf_dir)), "_w", "_f"), "_f")
-    d = d.withColumn("vocab_richness_r1", T.rounded(F.col("vocab_richness_r1"), 5))
     return nulls(d, "doc_id", "h_point", "vocab_richness_r1", "vocab_richness_r4", "repeat_rate", "rr_mcintosh", "gini_coef")
 
 
@@ -403,7 +401,7 @@ def paragraph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {words_sql()}, {sentences_sql()}, sc AS ({_count_sql('default')}), sy AS (SELECT doc_id, count(*) AS k FROM c WHERE regexp_matches(trim(chunk, {_EDGE}), '^[%$€£₺¢&+−=°§@×÷<>±]+$') GROUP BY doc_id),
 wd AS (SELECT doc_id, count(*)::DOUBLE AS n, sum(length(regexp_replace(form, '\\P{{L}}', '', 'g')))::DOUBLE AS l, sum((length(regexp_replace(form, '\\P{{L}}', '', 'g')) >= 7)::INT)::DOUBLE AS lg FROM w GROUP BY doc_id),
-x AS (SELECT d.doc_id, n, l, lg, coalesce(sc.n, 0)::DOUBLE AS s, n + coalesce(k, 0) AS m, length(regexp_replace(text, '[ \\n\\t\\r]', '', 'g'))::DOUBLE AS st FROM documents d LEFT JOIN (SELECT doc_id, n AS n, l, lg FROM wd) wd ON wd.doc_id = d.doc_id LEFT JOIN sc ON sc.doc_id = d.doc_id LEFT JOIN sy ON sy.doc_id = d.doc_id)
+x AS (SELECT d.doc_id, wd.n, l, lg, coalesce(sc.n, 0)::DOUBLE AS s, wd.n + coalesce(k, 0) AS m, length(regexp_replace(text, '[ \\n\\t\\r]', '', 'g'))::DOUBLE AS st FROM documents d LEFT JOIN wd ON wd.doc_id = d.doc_id LEFT JOIN sc ON sc.doc_id = d.doc_id LEFT JOIN sy ON sy.doc_id = d.doc_id)
 SELECT doc_id, {_r('4.71 * st / m + 0.5 * m / s - 21.43', 4, 'n > 0 AND s > 0')} AS ari, {_r('5.88 * l / n - 29.6 * s / n - 15.8', 4, 'n > 0')} AS coleman_liau,
  {_r('n / s + 100 * lg / n', 4, 'n > 0 AND s > 0')} AS lix, {_r('lg / n', 5, 'n > 0')} AS long_word_ratio FROM x"""
 )

@@ -28,18 +28,22 @@ def segments_column(text: Column, size: int = 1000, min_fill: float = 1.0, unit:
         pieces = F.transform(A.span(F.ceil(n / size).cast("int")), lambda i: F.substring(text, (i - 1) * size + 1, F.lit(size)))
         return F.filter(pieces, lambda p: (F.length(p) >= size * min_fill) & ~T.is_blank(p))
     parts = F.regexp_extract_all(text, F.lit(f"([{SPACE_CLASS}]*[^{SPACE_CLASS}]+)"), 1)
-    is_word = lambda i: F.btrim(F.regexp_replace(F.get(parts, i - 1), f"^[{SPACE_CLASS}]+", ""), F.lit(EDGE_MARKS)).rlike(T.ALNUM)
-    at = F.filter(A.span(F.size(parts)), is_word)
-    n = F.size(at)
-    count = F.ceil(n / size).cast("int")
-
-    def piece(k: Column) -> Column:
-        first, last = F.get(at, (k - 1) * size), F.get(at, F.least(k * size, n) - 1)
-        raw = F.array_join(F.slice(parts, first, last - first + 1), "")
-        return F.struct(F.regexp_replace(raw, f"^[{SPACE_CLASS}]+", "").alias("text"), (F.least(k * size, n) - (k - 1) * size).alias("n"))
-
-    kept = F.filter(F.transform(A.span(count), piece), lambda p: p["n"] >= size * min_fill)
-    return F.transform(kept, lambda p: p["text"])
+
+    def cut(ps: Column, at: Column) -> Column:
+        n = F.size(at)
+
+        def piece(k: Column) -> Column:
+            first, last = F.get(at, (k - 1) * size), F.get(at, F.least(k * size, n) - 1)
+            raw = F.array_join(F.slice(ps, first, last - first + 1), "")
+            return F.struct(F.regexp_replace(raw, f"^[{SPACE_CLASS}]+", "").alias("text"), (F.least(k * size, n) - (k - 1) * size).alias("n"))
+
+        return F.transform(A.span(F.ceil(n / size).cast("int")), piece)
+
+    def words_at(ps: Column) -> Column:
+        return F.filter(A.span(F.size(ps)), lambda i: F.btrim(F.regexp_replace(F.get(ps, i - 1), f"^[{SPACE_CLASS}]+", ""), F.lit(EDGE_MARKS)).rlike(T.ALNUM))
+
+    pieces = A.let(parts, lambda ps: A.let(words_at(ps), lambda at: cut(ps, at)))
+    return F.transform(F.filter(pieces, lambda p: p["n"] >= size * min_fill), lambda p: p["text"])
 
 
 def segment(df: DataFrame, size: int | None = 1000, min_fill: float = 1.0, unit: str = "word", lang: str = "tr", text: str = "text") -> DataFrame:
