@@ -36,7 +36,7 @@ FILTER_BITS = 1 << 23
 class _Words(dict):
     """Hashes of words; at most `most` of them are kept."""
 
-    most = 250_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)

@@ -34,7 +34,7 @@ def default_model() -> str:
 class Codec:
     """Encoder and decoder of one model file. At most `cache` words keep their ids; a full cache starts anew."""
 
-    def __init__(self, model: str, cache: int = 300_000):
+    def __init__(self, model: str, cache: int = 150_000):
         import ahocorasick
         import sentencepiece
 

@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,10 +49,10 @@ class Encoder:
     """
 
     #: So many new pieces make one text for the library; its time for each grows with the text.
-    JOIN = 40
+    JOIN = 16
     ODD = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}](?:[ \n]|\z)|\A[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
 
-    def __init__(self, path: str, width: int = 2, most: int = 700_000):
+    def __init__(self, path: str, width: int = 2, most: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,20 +66,21 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """No piece is known: `number` has each piece's place in `start` and `length`, these its ids in `ids`."""
-        self.number: dict[str, int] = {}
-        self.start, self.length, self.ids = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, self.kind)
+        """No piece is known: `start` and `length` say where in `ids` each piece of `known` has its ids."""
+        self.known = pa.array([], pa.large_string())
+        self.start, self.length, self.ids = np.empty(0, "i8"), np.empty(0, "i4"), np.empty(0, self.kind)
 
     def alone(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """Ids of new pieces from the library, JOIN of them as one text, cut by the bytes that each id stands for."""
-        groups = [pieces[k : k + self.JOIN] for k in range(0, len(pieces), self.JOIN)]
-        found = self.alone(["".join(g) for g in groups])
+        pieces = [p if p[:1] == "\n" else " " + p for p in new.to_pylist()]
+        found = self.alone(["".join(pieces[k : k + self.JOIN]) for k in range(0, len(pieces), self.JOIN)])
         ids = np.concatenate(found)
         ends = np.cumsum(self.size_of[ids])
-        want = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), "i8", len(pieces)))
+        feeds = np.fromiter((p[:1] == "\n" for p in pieces), bool, len(pieces))
+        want = np.cumsum(pc.binary_length(new).to_numpy() + ~feeds)
         at = np.searchsorted(ends, want)
         if at[-1] != len(ids) - 1 or (ends[at] != want).any():  # an id across two pieces: ask for each
             found = self.alone(pieces)
@@ -86,18 +88,15 @@ class Encoder:
         else:
             stops = at + 1
         length = np.diff(stops, prepend=0)
-        self.number.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
+        self.known = pa.concat_arrays([self.known, new])
         self.start = np.concatenate([self.start, len(self.ids) + stops - length])
-        self.length = np.concatenate([self.length, length])
+        self.length = np.concatenate([self.length, length.astype("i4")])
         self.ids = np.concatenate([self.ids, ids])
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
-        import pyarrow.compute as pc
-
         out = [b""] * len(texts)
-        column = pa.array(texts, pa.large_string())
-        odd = pc.fill_null(pc.match_substring_regex(column, self.ODD), False).to_numpy(zero_copy_only=False)
+        odd = pc.fill_null(pc.match_substring_regex(pa.array(texts, pa.large_string()), self.ODD), False).to_numpy(zero_copy_only=False)
         whole = np.flatnonzero(odd).tolist()
         for i, ids in zip(whole, self.alone([texts[i] for i in whole]), strict=True):
             out[i] = ids.tobytes()
@@ -107,15 +106,17 @@ class Encoder:
         # a line feed in front makes the first word a piece like others; its id is left out again
         split = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in rest.tolist()], pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        spell = [p if p[:1] == "\n" else " " + p for p in distinct]
-        if len(self.number) > self.most:
+        if len(self.known) > self.most:
             self._forget()
-        if new := [p for p in spell if p not in self.number]:
+        number = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(pc.is_null(number))
+        place = pc.fill_null(number, -1).to_numpy(zero_copy_only=False).astype("i8")
+        if len(new):
+            place[place < 0] = np.arange(len(self.known), len(self.known) + len(new))
             self._learn(new)
-        place = np.fromiter(map(self.number.__getitem__, spell), "i8", len(spell))[coded.indices.to_numpy()]
+        place = place[coded.indices.to_numpy()]
         start, length = self.start[place], self.length[place]
-        ends = np.cumsum(length)
+        ends = np.cumsum(length, dtype="i8")
         ids = self.ids[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
         last = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         for i, a, b in zip(rest.tolist(), last[:-1].tolist(), last[1:].tolist(), strict=True):
@@ -216,8 +217,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         part = TaskContext.get().partitionId()
         end = np.array([end_id], kind).tobytes()
         for b in it:
-            for k in range(0, b.num_rows, 2000):
-                some = b.slice(k, 2000)
+            for k in range(0, b.num_rows, 3000):
+                some = b.slice(k, 3000)
                 cols: tuple[list, ...] = ([], [], [], [], [], [])
                 for i, raw in zip(some.column(0).to_pylist(), enc.batch(some.column(1).to_pylist()), strict=True):
                     ids = np.frombuffer(raw + end, kind)
