@@ -95,8 +95,8 @@ def with_heaps(df: DataFrame, gaps: str, n: Column, points: int) -> DataFrame:
 def msttr(words: str, n: Column, size: int) -> Column:
     """Mean type share of the full segments of `size` words."""
     k = F.floor(n / size).cast("int")
-    shares = F.transform(A.span(k), lambda s: F.size(F.array_distinct(F.slice(words, (s - 1) * size + 1, size))) / F.lit(size))
-    return F.when(k >= 1, T.rounded(A.mean(shares), 5)).otherwise(T.nan())
+    types = F.transform(A.span(k), lambda s: F.size(F.array_distinct(F.slice(words, (s - 1) * size + 1, size))))
+    return F.when(k >= 1, T.rounded(A.total(types) / (k * size), 5)).otherwise(T.nan())
 
 
 def with_lexical(df: DataFrame, words: str, blank: Column, p: FeatureParams = DEFAULT, lang: str = "tr", only: set[str] | None = None) -> DataFrame:

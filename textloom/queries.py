@@ -119,8 +119,8 @@ def lexical_mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {words_sql()}, {_NV}, s AS (SELECT doc_id, (p - 1) // 100 AS seg, count(DISTINCT w) / 100.0::DOUBLE AS x, count(*) AS k FROM w GROUP BY ALL),
-m AS (SELECT doc_id, avg(x) AS x FROM s WHERE k = 100 GROUP BY doc_id) SELECT d.doc_id, {_r('x', 5)} AS msttr FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id"""
+    f"""WITH {words_sql()}, {_NV}, s AS (SELECT doc_id, (p - 1) // 100 AS seg, count(DISTINCT w) AS x, count(*) AS k FROM w GROUP BY ALL),
+m AS (SELECT doc_id, sum(x)::DOUBLE / (count(*) * 100) AS x FROM s WHERE k = 100 GROUP BY doc_id) SELECT d.doc_id, {_r('x', 5)} AS msttr FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id"""
 )
 def lexical_msttr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls(worded(documents(spark, sf_dir)).withColumn("msttr", lexical.msttr("_w", F.size("_w"), 100)), "doc_id", "msttr")
@@ -169,7 +169,7 @@ SELECT d.doc_id, {_r('s', 4, 'v >= 10')} AS zipf_exponent, {_r('xy * xy / (xx *
 )
 def zipf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.with_frequencies(worded(documents(spark, sf_dir)), "_w", "_f")
-    return nulls(frequency.with_zipf(d, "_f", set()), "doc_id", "zipf_exponent", "zipf_r2")
+    return nulls(frequency.with_zipf(d, "_f", "_w", set()), "doc_id", "zipf_exponent", "zipf_r2")
 
 
 @query(
@@ -180,7 +180,7 @@ SELECT d.doc_id, {_r('q', 4)} AS zipf_mandelbrot_q, {_r('s', 4)} AS zipf_mandelb
 )
 def zipf_mandelbrot(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.with_frequencies(worded(documents(spark, sf_dir)), "_w", "_f")
-    return nulls(frequency.with_zipf(d, "_f"), "doc_id", "zipf_mandelbrot_q", "zipf_mandelbrot_s")
+    return nulls(frequency.with_zipf(d, "_f", "_w"), "doc_id", "zipf_mandelbrot_q", "zipf_mandelbrot_s")
 
 
 _CURVE = f"""x AS (SELECT doc_id, f, r, lag(f) OVER (PARTITION BY doc_id ORDER BY r) AS prev, lead(f) OVER (PARTITION BY doc_id ORDER BY r) AS next FROM rk),
@@ -558,13 +558,12 @@ rk AS (SELECT doc_id, lem, f::DOUBLE AS f, rank() OVER (PARTITION BY doc_id ORDE
 xx AS (SELECT doc_id, f, r, lag(f) OVER (PARTITION BY doc_id ORDER BY r) AS prev FROM rk), hp AS (SELECT doc_id, min(r) FILTER (WHERE f <= r) AS r0, count(*)::DOUBLE AS v, max(f) AS f1 FROM xx GROUP BY doc_id),
 h AS (SELECT hp.doc_id, f1, CASE WHEN r0 IS NULL THEN v WHEN xx.f = r0 THEN r0 ELSE floor((prev * r0 - xx.f * (r0 - 1)) / (1 + prev - xx.f) * 1e6 + 0.5) / 1e6 END::DOUBLE AS h FROM hp LEFT JOIN xx ON xx.doc_id = hp.doc_id AND xx.r = hp.r0),
 w2 AS (SELECT h.doc_id, any_value(h) AS h, any_value(f1) AS f1, coalesce(sum((h - ar) * f) FILTER (WHERE ar < h AND {_CONTENT}), 0) AS a, coalesce(sum((2 * h - ar) * f) FILTER (WHERE ar < 2 * h AND {_CONTENT}), 0) AS b FROM h JOIN rk USING (doc_id) JOIN lp USING (doc_id, lem) GROUP BY h.doc_id)
-SELECT d.doc_id, h AS h_point, {_r('2 * a / (h * (h - 1) * f1)', 6, 'h > 1')} AS thematic_concentration, {_r('b / (h * (2 * h - 1) * f1)', 6, 'h > 0.5')} AS secondary_thematic_concentration FROM documents d LEFT JOIN w2 ON w2.doc_id = d.doc_id"""
+SELECT d.doc_id, {_r('2 * a / (h * (h - 1) * f1)', 6, 'h > 1')} AS thematic_concentration, {_r('b / (h * (2 * h - 1) * f1)', 6, 'h > 0.5')} AS secondary_thematic_concentration FROM documents d LEFT JOIN w2 ON w2.doc_id = d.doc_id"""
 )
 def thematic_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = frequency.with_curve(A.with_frequencies(viewed(spark, sf_dir), "_lem", "_f"), "_f")
-    d = d.withColumn("_t", frequency.thematic_columns(F.col("_lem"), F.col("_pos"), F.col("h_point")))
+    d = viewed(spark, sf_dir).withColumn("_t", frequency.thematic_columns(F.col("_lem"), F.col("_pos")))
     d = d.withColumns({"thematic_concentration": T.rounded(F.col("_t.first"), 6), "secondary_thematic_concentration": T.rounded(F.col("_t.second"), 6)})
-    return nulls(d, "doc_id", "h_point", "thematic_concentration", "secondary_thematic_concentration")
+    return nulls(d, "doc_id", "thematic_concentration", "secondary_thematic_concentration")
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
