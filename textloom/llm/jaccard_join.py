@@ -234,7 +234,7 @@ def _expand(group_pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = 4, rounds: int = 2) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = 16, rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, node, component_id), a row for each row of docs.
 
     Two documents link when 100 * |A and B| >= percent * |A or B|; component_id is the smallest id that links reach.
