@@ -570,9 +570,9 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with heads by a rule: in sentences of up to ten neighbouring tokens, the first is the root, an even
     token hangs from the one before, an odd one from the first."""
     d = annotated(spark, sf_dir)
-    pieces = F.transform(A.span(F.ceil(F.size("surface_tokens") / 10).cast("int")), lambda k: F.slice("upos", (k - 1) * 10 + 1, 10))
+    pieces = lambda u: F.transform(A.span(F.ceil(F.size(u) / 10).cast("int")), lambda k: F.slice(u, (k - 1) * 10 + 1, 10))
     head = lambda i: F.when(i == 0, 0).when(i % 2 == 0, i - 1).otherwise(0)
-    dep = F.transform(pieces, lambda s: F.transform(s, lambda t, i: F.struct(i.alias("i"), t.alias("upos"), F.lit("dep").alias("rel"), head(i).cast("int").alias("head"))))
+    dep = F.transform(A.let(F.col("upos"), pieces), lambda s: F.transform(s, lambda t, i: F.struct(i.alias("i"), t.alias("upos"), F.lit("dep").alias("rel"), head(i).cast("int").alias("head"))))
     return d.withColumn("dep_data", dep)
 
 
