@@ -23,6 +23,7 @@ from .vocab import ALPHABETS, EDGE_MARKS, TOKEN
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+SMALL = 64 << 20
 SQL: dict[str, str] = {}
 
 
@@ -37,7 +38,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *more)
+    """The table's columns. A small table may come in a single row group, which one task would read: below SMALL bytes its
+    rows are dealt out to all cores. Larger ones stay as their files and row groups split them, without a shuffle."""
+    path = f"{sf_dir}/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text", *more)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return docs.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else docs
 
 
 def nulls(df: DataFrame, *keep: str) -> DataFrame:
