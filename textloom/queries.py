@@ -590,8 +590,8 @@ kp AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sid ORDER BY i) AS o FR
 
 
 @query(
-    f"""WITH {_PARSED}, ar AS (SELECT a.doc_id, a.sid, avg(abs(a.o - b.o)) AS x FROM kp a JOIN kp b ON a.doc_id = b.doc_id AND a.sid = b.sid AND b.i = a.head WHERE a.head <> a.i GROUP BY ALL), am AS (SELECT doc_id, avg(x) AS x FROM ar GROUP BY doc_id),
-ds AS (SELECT doc_id, sid, avg(CASE WHEN head = 0 THEN 1 ELSE 2 END) AS x FROM kp WHERE head <> i GROUP BY ALL), dm AS (SELECT doc_id, avg(x) AS x FROM ds GROUP BY doc_id)
+    f"""WITH {_PARSED}, ar AS (SELECT a.doc_id, a.sid, avg(abs(a.o - b.o)) AS x FROM kp a JOIN kp b ON a.doc_id = b.doc_id AND a.sid = b.sid AND b.i = a.head WHERE a.head <> a.i GROUP BY ALL), am AS (SELECT doc_id, list_sum(list(x ORDER BY sid)) / count(*) AS x FROM ar GROUP BY doc_id),
+ds AS (SELECT doc_id, sid, avg(CASE WHEN head = 0 THEN 1 ELSE 2 END) AS x FROM kp WHERE head <> i GROUP BY ALL), dm AS (SELECT doc_id, list_sum(list(x ORDER BY sid)) / count(*) AS x FROM ds GROUP BY doc_id)
 SELECT d.doc_id, {_r('am.x', 5)} AS arc_len_mean, {_r('dm.x', 5)} AS parse_depth_mean FROM documents d LEFT JOIN am ON am.doc_id = d.doc_id LEFT JOIN dm ON dm.doc_id = d.doc_id"""
 )
 def dependency_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
