@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from textloom.llm import decontaminate, html_extraction, jaccard_join, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_store, toxicity, url_filters
 from textloom.llm.common import components
@@ -259,6 +260,34 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def long_prose(seed, consonants, vowels, size):
+    """Clean prose of so many bytes: words by Zipf's law in sentences."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(consonants) + rng.choice(vowels) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    drawn, out, at = rng.choices(words, [1 / (i + 2.7) for i in range(3000)], k=size // 3), [], 0
+    while at < len(drawn):
+        n = rng.randint(6, 16)
+        out.append(" ".join(drawn[at : at + n]).capitalize() + ".")
+        at += n
+    return " ".join(out).encode()[:size].decode(errors="ignore")
+
+
+@pytest.mark.parametrize("lang,consonants,vowels", [("en", "bcdfghlmnprstw", "aeiou"), ("de", "bdfghklmnrstwz", "aeiouäöü"), ("fr", "bcdlmnprstv", "aeiouéèê"), ("es", "bcdfghjlmnprstvz", "aeiouáéó")])
+def test_long_clean_texts_stay(lang, consonants, vowels):
+    bands, zc = quality_rules.Bands(), zstandard.ZstdCompressor(level=3)
+    for size in (20_000, 100_000, 500_000, 3_000_000):
+        raw = long_prose(1, consonants, vowels, size).encode()
+        assert len(raw) > size - 4
+        ratio, _, bad, fits = quality_rules.compression_ok(raw, bands, zc)
+        assert fits and not bad, (lang, size, ratio)
+    text = long_prose(2, consonants, vowels, 100_000)
+    assert quality_rules.judge(text, bands, zc)[6]
+    words = text.split()[:40]
+    rng = random.Random(3)
+    salad = " ".join(rng.choice(words) for _ in range(30_000)).encode()
+    assert not quality_rules.compression_ok(salad, bands, zc)[3]
+
+
 # ---- 7 and 9
 
 
