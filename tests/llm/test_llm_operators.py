@@ -312,6 +312,26 @@ def test_quality_classifier(spark):
     assert quality_classifier.quality_classifier(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_features_cover_whole_words():
+    s = quality_classifier.Settings()
+    rng = random.Random(12)
+    signs = [chr(0x4E00 + rng.randrange(2000)) for _ in range(3000)]
+    for w in ("".join(signs), "x" * 70 + "yz", "http://a.x/" + "p/q" * 100):
+        feats = quality_classifier.Features(s)
+        mark = b"<" + w.encode() + b">"
+        grams = [zlib.crc32(mark[i : i + k], k) % s.buckets for k in s.grams for i in range(len(mark) - k + 1)]
+        assert feats.word(w.encode()).tolist() == [zlib.crc32(w.encode()) % s.buckets, *grams]
+        assert not feats.words
+    same = "".join(signs[:40])
+    rows = [(same + "".join(rng.choice(signs[100:200] if i % 2 else signs[200:300]) for _ in range(200)), i % 2) for i in range(200)]
+    model = quality_classifier.fit(rows[:150], s)
+    scorer = quality_classifier.Scorer(model)
+    assert auc([y for _, y in rows[150:]], np.array([scorer.score(t) for t, _ in rows[150:]])) > 0.95
+    w = rows[150][0]
+    ids, share = quality_classifier.Features(s).text(w)
+    assert abs(scorer.score(w) - 1 / (1 + np.exp(-(share @ model.weight[ids] + model.bias)))) < 1e-5
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
 

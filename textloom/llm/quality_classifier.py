@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,13 @@ class Settings:
     seed: int = 7
 
 
+#: Longer words, in bytes, are worked out each time, so that the kept ones are of bounded size.
+LONG = 64
+
+
 class Features:
-    """Bucket ids of a text: each word, its character n-grams within < and >, and each pair of neighbouring words
-    (a word after itself has a bucket of its own)."""
+    """Bucket ids of a text: each word, all its character n-grams within < and >, whatever its length, and each pair of
+    neighbouring words (a word after itself has a bucket of its own)."""
 
     def __init__(self, s: Settings, most: int = 200_000):
         self.s, self.most = s, most
@@ -44,11 +49,14 @@ class Features:
     def word(self, w: bytes) -> np.ndarray:
         f = self.words.get(w)
         if f is None:
-            if len(self.words) >= self.most:
-                self.words.clear()
-            mark = b"<" + w[:60] + b">"
-            ids = [zlib.crc32(w), *(zlib.crc32(mark[i : i + k], k) for k in self.s.grams for i in range(len(mark) - k + 1))]
-            f = self.words[w] = np.array(ids, "u4") % np.uint32(self.s.buckets)
+            mark = b"<" + w + b">"
+            ids = chain((zlib.crc32(w),), (zlib.crc32(mark[i : i + k], k) for k in self.s.grams for i in range(len(mark) - k + 1)))
+            f = np.fromiter(ids, "u4")
+            f %= np.uint32(self.s.buckets)
+            if len(w) <= LONG:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                self.words[w] = f
         return f
 
     def pairs(self, first: np.ndarray) -> np.ndarray:
@@ -117,7 +125,7 @@ class Scorer:
     def _learn(self, w: bytes) -> tuple[float, int, int]:
         f = self.feats.word(w)
         v = (float(self.m.weight[f].sum()), len(f), int(f[0]))
-        if len(self.known) < self.most and len(w) <= 64:
+        if len(self.known) < self.most and len(w) <= LONG:
             self.known[w] = v
         return v
 
