@@ -187,6 +187,36 @@ def test_html_extraction(spark):
     assert html_extraction.html_extraction(pages.limit(0)).count() == 0
 
 
+def brute_text(page):
+    """All blocks of a page outside of what is set apart, read from the top."""
+    return "\n".join(html_extraction.blocks(html_extraction.parse(page)))
+
+
+def test_html_without_article_keeps_all_main_text(spark):
+    rng = random.Random(13)
+    menu = "<nav><a>Home</a></nav><ul><li><a>Menu</a></li><li><a>Map</a></li></ul>"
+    bodies = [
+        lambda i: f"<div class='post-intro'><p>{prose(rng, 35)}</p></div><div class='post-body'><p>{prose(rng, 65)}</p></div>",
+        lambda i: f"<h1>Title {i}</h1><div class='text'><p>{prose(rng, 200)}</p></div>",
+        lambda i: f"<h1><a>Linked {i}</a></h1><p>lead {i}</p><div><div class='content'><p>{prose(rng, 200)}</p><p>b</p></div></div>",
+        lambda i: f"<div class='main'><p>{prose(rng, 90)}</p></div><p>end {i}</p>",
+        lambda i: f"<div class='{rng.choice(['a', 'b'])}'><p>{prose(rng, 50)}</p><div class='related'>no</div></div>" * rng.randint(1, 3),
+    ]
+    rows, want = [], []
+    for h, body in enumerate(bodies):
+        for i in range(6):
+            main = f"<div id='wrap'>{body(i)}</div>"
+            rows.append((len(rows), f"http://h{h}.x/{i}", f"<html><head><title>t</title></head><body>{menu}{main}<footer>f</footer></body></html>"))
+            want.append(brute_text(main))
+    for i in range(4):
+        a, b = prose(rng, 40), prose(rng, 20)
+        rows.append((len(rows), f"http://two.x/{i}", f"<body><div>tag line</div><article class='lead'><p>{a}</p></article><div><article class='more'><p>{b}</p></article></div></body>"))
+        want.append(f"{a}\n{b}")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.html_extraction(pages).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def test_wrappers_are_union_free_expressions():
     a = html_extraction.shape(html_extraction.parse("<body><ul><li>x</li><li>y</li></ul><p>Same</p><i>t1</i></body>"))
     b = html_extraction.shape(html_extraction.parse("<body><ul><li>z</li></ul><h2>new</h2><p>Same</p><i>t2</i></body>"))

@@ -35,7 +35,7 @@ WALLS = frozenset("html body table ul ol dl article section main aside div nav h
 #: Elements that are never part of an article's text, and words of class, id or role that name such parts.
 APART = RAW | frozenset("head nav footer aside form button dialog menu".split())
 APART_WORDS = frozenset("ad ads adv advert advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar tooltip widget widgets banner complementary contentinfo alert".split())
-MAIN_WORDS = ("articlebody", "article", "story", "post", "entry", "main", "content", "body", "text")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
@@ -255,40 +255,46 @@ def _apart(label: str) -> bool:
 def main_path(wrapper: list) -> list[str]:
     """Labels from the top to the place of the article.
 
-    That is the <article> with most text; else <main>; else the element whose class or id names the content, if it
-    has a third of the page's text; else the deepest element that still has nine tenths of the text outside of menus,
-    adverts and so on, links left out.
+    That is the outermost <article>, else <main>; where several places of a host have one, `//article` or `//main`
+    stands for all of them. Else it is the lowest element that holds all text outside of menus, adverts and so on.
+    Text in links alone doesn't count there, but in headings.
     """
-    found: list[tuple[int, list[str], list]] = []
-
-    def mass(k: list) -> int:
-        if k[0] == "#":
-            return 0
-        own = k[3] - k[4] - sum(x[3] - x[4] for x in k[5] if x[0] != "#")
-        return own + sum(mass(x) for x in k[5] if x[0] != "#" and not _apart(x[0]))
-
-    def walk(k: list, path: list[str]) -> None:
-        for x in k[5]:
-            if x[0] != "#" and not _apart(x[0]):
-                found.append((mass(x), [*path, x[0]], x))
-                walk(x, [*path, x[0]])
-
-    walk(wrapper, [])
-    whole = max((m for m, _, _ in found), default=0)
-    kind = lambda test: max(((m, -len(p), p) for m, p, _ in found if test(p[-1].split(".")) and m), default=None)
-    for test in (lambda t: t[0] == "article", lambda t: t[0] == "main" or "main" in t[1:] and t[0] != "body"):
-        if best := kind(test):
-            return best[2]
-    for word in MAIN_WORDS:
-        best = kind(lambda t, w=word: w in t[1:] and t[0] not in ("html", "body"))
-        if best and 3 * best[0] >= whole:
-            return best[2]
-    deepest = [p for m, p, x in found if whole and 10 * m >= 9 * whole and any(y[0] != "#" for y in x[5])]
-    return max(deepest, key=len, default=[])
+    kids = lambda k: [x for x in k[5] if x[0] != "#" and not _apart(x[0])]
+
+    def own(k: list) -> int:
+        inside = [x for x in k[5] if x[0] != "#"]
+        text, links = k[3] - sum(x[3] for x in inside), k[4] - sum(x[4] for x in inside)
+        return text if k[0].split(".")[0] in HEADINGS else text - links
+
+    def full(k: list) -> bool:
+        return own(k) > 0 or any(map(full, kids(k)))
+
+    def outermost(k: list, tag: str, path: list[str]) -> Iterator[list[str]]:
+        for x in kids(k):
+            if x[0].split(".")[0] == tag and full(x):
+                yield [*path, x[0]]
+            else:
+                yield from outermost(x, tag, [*path, x[0]])
+
+    for tag in ("article", "main"):
+        found = {tuple(p) for p in outermost(wrapper, tag, [])}
+        if found:
+            return list(found.pop()) if len(found) == 1 else [f"//{tag}"]
+    path: list[str] = []
+    at = wrapper
+    while own(at) <= 0:
+        inside = [x for x in kids(at) if full(x)]
+        if len(inside) != 1:
+            break
+        at = inside[0]
+        path.append(at[0])
+    return path
 
 
 def places(root: Element, path: list[str]) -> list[Element]:
     """Elements of a page at a path of labels; labels that only differ in words count where no equal one is there."""
+    if path and path[0].startswith("//"):
+        return list(outermost_elements(root, path[0][2:]))
     level = [root]
     for label in path:
         kids = [c for e in level for c in e.children if not isinstance(c, str)]
@@ -297,6 +303,15 @@ def places(root: Element, path: list[str]) -> list[Element]:
     return level if path else []
 
 
+def outermost_elements(e: Element, tag: str) -> Iterator[Element]:
+    for c in e.children:
+        if not isinstance(c, str) and not c.apart:
+            if c.tag == tag:
+                yield c
+            else:
+                yield from outermost_elements(c, tag)
+
+
 def blocks(e: Element) -> list[str]:
     """Texts of the blocks of an element in page order, without the parts that stand apart."""
     out: list[str] = []
