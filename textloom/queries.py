@@ -683,7 +683,7 @@ def quality_by_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corpus_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All groups that need no model, the seeded samples aside, of all texts under Turkish rules."""
+    """The groups that need no model, of all texts under Turkish rules; the lexical group has queries of its own."""
     groups = ["frequency_structure", "sentence", "paragraph", "phonological", "readability", "punctuation", "chars"]
     m = analyze(documents(spark, sf_dir, "source"), "tr", groups, custom_ngrams=[["of", "the"]], warn=False).drop("text")
     return nulls(m, *m.columns)
