@@ -1,9 +1,11 @@
 """Each training-data operator against a plain version of itself, with nulls, empty tables, repeats and odd columns."""
 
 import hashlib
+import html as html_lib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -188,8 +190,11 @@ def test_html_extraction(spark):
 
 
 def brute_text(page):
-    """All blocks of a page outside of what is set apart, read from the top."""
-    return "\n".join(html_extraction.blocks(html_extraction.parse(page)))
+    """All blocks of a page, by regular expressions, without the parts of class related and the like."""
+    page = re.sub(r"<div class='related'>.*?</div>", "", page)
+    parts = re.split(r"</?(?:div|p|h1|h2|ul|li|section)\b[^>]*>", page)
+    out = [" ".join(html_lib.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in parts]
+    return "\n".join(x for x in out if x)
 
 
 def test_html_without_article_keeps_all_main_text(spark):
@@ -217,11 +222,101 @@ def test_html_without_article_keeps_all_main_text(spark):
     assert [got[i] for i in range(len(rows))] == want
 
 
+def merged(*htmls):
+    w = None
+    for x in htmls:
+        k = html_extraction.shape(html_extraction.parse(x))
+        if w is None:
+            w = k
+        else:
+            html_extraction.merge_into(w, k)
+    return w
+
+
 def test_wrappers_are_union_free_expressions():
-    a = html_extraction.shape(html_extraction.parse("<body><ul><li>x</li><li>y</li></ul><p>Same</p><i>t1</i></body>"))
-    b = html_extraction.shape(html_extraction.parse("<body><ul><li>z</li></ul><h2>new</h2><p>Same</p><i>t2</i></body>"))
-    html_extraction.merge_into(a, b)
-    assert html_extraction.expression(a) == "<body><ul>(<li>#text</li>)+</ul>(<h2>new</h2>)?<p>Same</p>#text</body>"
+    a = merged("<body><ul><li>x</li><li>y</li></ul><p>Same</p><i>t1</i></body>", "<body><ul><li>z</li></ul><h2>new</h2><p>Same</p><i>t2</i></body>")
+    fixed = html_extraction.shape(html_extraction.parse("<p>Same</p>")).kids[0].kids[0].fixed
+    assert html_extraction.expression(a) == f"<body><ul>(<li>#text</li>)+</ul>(<h2>{text_hash('new')}</h2>)?<p>#{fixed:x}</p>#text</body>"
+    # what stands in another order is one repeated group
+    b = merged("<b1>x</b1><b2>y</b2><b3>z</b3>", "<b2>x</b2><b1>y</b1><b3>w</b3>")
+    assert html_extraction.expression(b) == "((<b1>#text</b1>)*(<b2>#text</b2>)?)+<b3>#text</b3>"
+    assert html_extraction.expression(html_extraction.load(html_extraction.dump(b))) == html_extraction.expression(b)
+
+
+def text_hash(s):
+    return f"#{html_extraction.shape(html_extraction.parse(s)).kids[0].fixed:x}"
+
+
+def brute_generalises(w, page):
+    """Whether the wrapper's expression, as a regular expression of Python, matches the page's own stream of tags."""
+    expression = re.sub(r"#[0-9a-z]+", "", html_extraction.expression(w))
+    own = re.sub(r"#[0-9a-z]+|[()+*?]", "", html_extraction.expression(flat(page)))
+    pattern = re.sub(r"[<>/.]", lambda m: "\\" + m[0], expression)
+    return re.fullmatch(pattern, own) is not None
+
+
+def flat(page):
+    """The page's stream as a node tree without folding."""
+    fold, html_extraction.fold = html_extraction.fold, lambda kids, todo: kids
+    try:
+        return html_extraction.shape(html_extraction.parse(page))
+    finally:
+        html_extraction.fold = fold
+
+
+def test_a_wrapper_matches_every_page_it_comes_from():
+    rng = random.Random(21)
+    for _ in range(150):
+        pages = ["<body>" + "".join(f"<{t}>" + "".join(f"<{u}>x{rng.random()}</{u}>" for u in rng.choices(["u1", "u2", "u3"], k=rng.randint(0, 3))) + f"</{t}>" for t in rng.choices(["d1", "d2", "d3", "d4"], k=rng.randint(0, 6))) + "</body>" for _ in range(rng.randint(1, 5))]
+        w = merged(*pages)
+        for page in pages:
+            assert brute_generalises(w, page), (html_extraction.expression(w), page)
+
+
+TEMPLATES = {
+    # of each: how a page of the host is made of its title, its paragraphs and other texts
+    "article": lambda t, ps, x: f"<nav><a href='/'>Home</a> <a>{x[0]}</a></nav><div class=ad>{x[1]}</div><article><h1>{t}</h1>{ps}</article><footer>{x[2]}</footer>",
+    "widget": lambda t, ps, x: f"<div id=top><a>Home</a></div><div class='widget-content'><h1>{t}</h1>{ps}</div><div class='sidebar'><p>{x[0]}</p></div>",
+    "header": lambda t, ps, x: f"<header><a>Site</a></header><article><div class='post-header'><h1>{t}</h1></div>{ps}<p class='search-related'>{x[3]}</p></article><footer>{x[1]}</footer>",
+    "notice": lambda t, ps, x: f"<div class=c9><p>We use small files on this site.</p></div><div class=txt><h1>{t}</h1>{ps}<div class=box>Read our terms</div></div><ul class=zz><li><a>{x[0]}</a><li><a>{x[1]}</a></ul>",
+    "comments": lambda t, ps, x: f"<div class=page><h2>{t}</h2><div>{ps}</div><div class='user-comments'><p>{x[0]}</p><p>{x[1]}</p></div></div><form><p>{x[2]}</p></form>",
+    "plain": lambda t, ps, x: f"<table><tr><td><a>{x[0]}</a></td><td><h1>{t}</h1>{ps}</td></tr></table><aside>{x[1]}</aside>",
+}
+KEEPS_RELATED = {"header"}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_html_against_the_templates_own_texts(name):
+    rng = random.Random(name)
+    made = []
+    for i in range(12):
+        title, ps, x = f"Title {i} {prose(rng, 3)}", [f"{prose(rng, rng.randint(20, 60))} &lt;{i}&gt;" for _ in range(rng.randint(1, 5))], [prose(rng, rng.randint(2, 6)) for _ in range(4)]
+        want = [title, *(html_lib.unescape(p) for p in ps), *([x[3]] if name in KEEPS_RELATED else [])]
+        body = TEMPLATES[name](title, "".join(f"<p>{p}</p>" if k % 2 else f"<p>{p}" for k, p in enumerate(ps)), x)
+        made.append((f"<!DOCTYPE html><html><head><title>{title}</title><script>var a='<p>';</script></head><body>{body}</body></html>", want))
+    plan = html_extraction.Plan.of(html_extraction.decisions(merged(*(h for h, _ in made))))
+    for h, want in made:
+        assert html_extraction.extract(h, plan).split("\n") == want
+
+
+def test_hostile_pages_take_linear_time():
+    deep = "<div>" * 10_000 + "text" + "</div>" * 10_000
+    assert html_extraction.extract(deep) == "text"
+    w = merged(deep, deep.replace("text", "other"), "<div>x</div>")
+    assert html_extraction.expression(html_extraction.load(html_extraction.dump(w))) == html_extraction.expression(w)
+    assert html_extraction.extract(deep, html_extraction.Plan.of(html_extraction.decisions(w))) == "text"
+    wide = "".join(f"<div class='{prose(random.Random(i), 1)}'><p>t{i}</p></div>" for i in range(5000))
+    began = time.time()
+    for page in ('<a "' * 300_000, '<a ="' * 200_000, "<a b='" * 200_000 + ">", "<span>" * 50_000 + "</b>" * 50_000, "<" * 500_000, "<!--" * 200_000, "<script>" * 100_000, "<li>" * 100_000 + "x", wide, "<p>" * 100_000 + "</p>" * 100_000):
+        html_extraction.extract(page)
+    assert time.time() - began < 30
+    assert html_extraction.extract(wide).split("\n") == [f"t{i}" for i in range(5000)]
+
+
+def test_html_copies_of_one_page_are_no_template(spark):
+    page = "<body><ul><li><a>m</a></ul><div><p>All the same words here</p></div></body>"
+    pages = spark.createDataFrame([(i, "http://a.x/1", page) for i in range(40)], "page_id long, url string, html string").repartition(7)
+    assert {r["text"] for r in html_extraction.html_extraction(pages).collect()} == {"All the same words here"}
 
 
 # ---- 5
