@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -91,7 +92,28 @@ def test_components_of_a_chain_and_a_star(spark):
 # ---- 2
 
 
-def viterbi(c, s):
+def odd_strings(seed, n, length):
+    rng = random.Random(seed)
+    parts = ["a", "th", " ", "  ", "     ", "é", "漢", "\n", "😀", "ing", ".", "12", "The", "\t", "ß", "…", "日本語", "%%%", "\x00", "\ue000"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, length))) for _ in range(n)]
+
+
+def test_sentencepiece_gives_the_librarys_ids():
+    import sentencepiece
+
+    c = sentencepiece_codec.Codec(sentencepiece_codec.default_model(), cache=700, pairs=300)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    rng = random.Random(3)
+    made = ["".join(rng.choice("abcdeghinorstuvwyéü,.") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = [*odd_strings(2, 2000, 30), " ".join(made), " ", "  ", "x" * 5000, "", None]
+    for some in (texts[:1500], texts[1500:], texts[:5]):
+        assert [i.tolist() for i in c.encode_many(some)] == sp.encode([t or "" for t in some])
+    assert len(c.cache) <= 3000 and not any(len(w) > c.LONG for w in c.cache)
+    for t in [*odd_strings(4, 50, 30), "▁a▁▁ b", "▁", "a▁"]:
+        assert c.decode(c.encode(t).tolist()) == t
+
+
+def plain_viterbi(c, s):
     best = [(0.0, [])]
     for e in range(1, len(s) + 1):
         top = None
@@ -101,7 +123,7 @@ def viterbi(c, s):
                 v = best[e - k][0] + score
                 if top is None or v > top[0]:
                     top = (v, best[e - k][1] + [i])
-        if s[e - 1] not in c.single:
+        if s[e - 1] not in c.score:
             v = best[e - 1][0] + c.unknown
             if top is None or v > top[0]:
                 top = (v, best[e - 1][1] + c._fallback(s[e - 1]))
@@ -109,14 +131,23 @@ def viterbi(c, s):
     return best[-1][1]
 
 
-def test_sentencepiece_against_a_plain_search(spark):
-    c = sentencepiece_codec.codec()
+def test_scores_of_a_unigram_model_against_a_plain_search():
+    c = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    assert c.merges
     rng = random.Random(2)
-    texts = ["".join(rng.choice(["a", "th", " ", "  ", "é", "漢", "\n", "😀", "ing", ".", "12"]) for _ in range(40)) for _ in range(60)]
-    for t in [*texts, "▁a▁▁ b", " ", "  "]:
-        assert c.decode(c.encode(t).tolist()) == t
-        if "▁" not in t:
-            assert c.encode(t).tolist() == viterbi(c, "▁" + t.replace(" ", "▁"))
+    c.merges, c.unknown = False, -40.0
+    c.score = {p: (-rng.random() * 12 - 1 / len(p), i) for p, (_, i) in c.score.items()}
+    for t in odd_strings(5, 60, 30):
+        if t:
+            words = sentencepiece_codec.CHUNK.findall("▁" + t.replace(" ", "▁"))
+            assert c.encode(t).tolist() == [i for w in words for i in plain_viterbi(c, w)]
+            assert c.decode(c.encode(t).tolist()) == t
+
+
+def test_portions_bound_rows_and_bytes():
+    b = pa.RecordBatch.from_pydict({"i": list(range(7)), "t": ["x" * 10, None, "y" * 25, "z", "", "w" * 8, "v" * 30]})
+    parts = list(sentencepiece_codec.portions(iter([b, b.slice(0, 0)]), rows=3, size=20))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5], [6], []]
 
 
 def test_sentencepiece_decodes_like_the_library(spark):
