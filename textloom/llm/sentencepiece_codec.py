@@ -22,10 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import arrow_pass, batch
+from .common import arrow_pass, batch, portions
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -251,27 +250,13 @@ def codec(model: str | None = None) -> Codec:
     return _CODECS[model]
 
 
-def portions(it: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most so many rows and, but for single rows, bytes of column 1; an empty one as it is."""
-    for b in it:
-        at = 0
-        lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-        while True:
-            some = np.cumsum(lengths[at : at + rows])
-            k = max(1, int(np.searchsorted(some, size, "right")))
-            yield b.slice(at, k)
-            at += k
-            if at >= b.num_rows:
-                break
-
-
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id and `ids` (array<int>). Null and empty texts have no ids; repeated rows stay."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for part in portions(it):
+        for part in portions(it, 1):
             ids = c.encode_many(part.column(1).to_pylist())
             ends = np.cumsum([0, *map(len, ids)]).astype("i4")
             flat = np.concatenate([np.empty(0, "<i4"), *ids])
@@ -299,7 +284,7 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in portions(it):
+        for b in portions(it, 1):
             n, crc, size, same = [], [], [], []
             texts = b.column(1).to_pylist()
             for t, ids in zip(texts, c.encode_many(texts), strict=True):
