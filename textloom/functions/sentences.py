@@ -1,24 +1,23 @@
 """Sentences by rule over tokens, and their words. Pure rules first, then the Arrow UDF that applies them row by row.
 
 Every token becomes one letter: w for a token with a letter or number, e for a mark that ends a sentence, m for another
-mark, o for an opener, E for an ending mark that begins with an opener. A sentence is then a regular expression over
-these letters, and a text's sentences are its matches.
+mark, o for an opener, E for an ending mark that begins with an opener. One walk from left to right over these letters
+finds the sentences; all steps take time in proportion to the text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocab import CLOSERS, EDGE_MARKS, NEW_SENTENCE_OPENERS, OPENERS_ONLY, SENTENCE_SETS, SYMBOLS, check_lang
+from ..vocab import CLOSERS, EDGE_MARKS, NEW_SENTENCE_OPENERS, OPENERS_ONLY, SENTENCE_SETS, SYMBOLS, TOKEN, check_lang
 from .readings import tr_abbreviation
 
-BOUNDARY = re.compile(r"[^w]*w[^eE]*[eE]")
-SENTENCE = re.compile(r"[^w]*w[^eE]*[eE][em]*")
 CHUNK = re.compile(r"\S+")
 
 
@@ -26,56 +25,77 @@ def has_alnum(token: str) -> bool:
     return any(map(str.isalnum, token))
 
 
-def rule_tokens(text: str) -> list[str]:
-    """Numbers with inner marks, words with inner apostrophes or hyphens, runs of dots, single other characters."""
+@cache
+def _token_pattern():
     import regex
 
-    from ..vocab import TOKEN as pattern
+    return regex.compile(TOKEN)
 
-    return regex.compile(pattern).findall(text)
+
+def rule_tokens(text: str) -> list[str]:
+    """Numbers with inner marks, words with inner apostrophes or hyphens, runs of dots, single other characters."""
+    return _token_pattern().findall(text)
 
 
 def code(tokens: Sequence[str], kind: str = "default", lang: str = "tr") -> str:
     """The letters of the tokens under one of the three sets of ending marks."""
-    ends, maybe = SENTENCE_SETS[kind]
-    out: list[str] = []
-    n = len(tokens)
-    for i, t in enumerate(tokens):
-        if has_alnum(t):
-            out.append("w")
-            continue
-        ending = any(c in ends for c in t)
+    ends, maybe = map(frozenset, SENTENCE_SETS[kind])
+    words = [any(map(str.isalnum, t)) for t in tokens]
+    marks = [i for i, is_word in enumerate(words) if not is_word]
+    out = ["w"] * len(tokens)
+    last = len(tokens)
+    for i in reversed(marks):
+        t = tokens[i]
+        # the word behind: the front of the stretch of marks already walked, or the end of the text
+        last = last if i + 1 < len(tokens) and not words[i + 1] else i + 1
+        ending = not ends.isdisjoint(t)
         if ending and lang == "tr" and t == ".":
-            word = next((tokens[j] for j in range(i - 1, -1, -1) if out[j] == "w"), "")
-            if tr_abbreviation(word) is not None:
-                after = next((x for x in tokens[i + 1 :] if has_alnum(x)), None)
-                ending = after is None or after[:1].isupper()
-        elif not ending and maybe and any(c in maybe for c in t):
-            after = tokens[i + 1] if i + 1 < n else None
-            ending = after is None or after[0] in NEW_SENTENCE_OPENERS or (has_alnum(after) and after[0].isupper())
+            out[i] = "." + ("" if last < len(tokens) and not tokens[last][:1].isupper() else "!")
+            continue
+        if not ending and maybe and not maybe.isdisjoint(t):
+            after = tokens[i + 1] if i + 1 < len(tokens) else None
+            ending = after is None or after[0] in NEW_SENTENCE_OPENERS or (words[i + 1] and after[0].isupper())
         opener = t[0] in OPENERS_ONLY
-        out.append(("E" if opener else "e") if ending else "o" if opener else "m")
+        out[i] = ("E" if opener else "e") if ending else "o" if opener else "m"
+    before = ""
+    for i, letter in enumerate(out):
+        if letter == "w":
+            before = tokens[i]
+        elif letter[0] == ".":  # a Turkish dot: behind an abbreviation it ends a sentence only before a capital or nothing
+            out[i] = "e" if letter == ".!" or tr_abbreviation(before) is None else "m"
     return "".join(out)
 
 
 def count(tokens: Sequence[str], kind: str = "default", lang: str = "tr") -> int:
     """Sentences under a set of marks; words behind the last ending mark are one more."""
-    letters = code(tokens, kind, lang)
-    found = list(BOUNDARY.finditer(letters))
-    return len(found) + ("w" in letters[found[-1].end() if found else 0 :])
+    n, worded = 0, False
+    for letter in code(tokens, kind, lang):
+        if letter == "w":
+            worded = True
+        elif worded and letter in "eE":
+            n, worded = n + 1, False
+    return n + worded
 
 
 def spans(tokens: Sequence[str], lang: str = "tr") -> list[tuple[int, int]]:
     """Token ranges of the default sentences; they cover all tokens. Marks behind an ending one stay with it, but for
     openers; marks behind the last sentence belong to it."""
+    out: list[tuple[int, int]] = []
+    first, worded, closed = 0, False, False
     letters = code(tokens, "default", lang)
-    out = [m.span() for m in SENTENCE.finditer(letters)]
-    rest = out[-1][1] if out else 0
-    if rest < len(letters):
-        if out and "w" not in letters[rest:]:
-            out[-1] = (out[-1][0], len(letters))
-        else:
-            out.append((rest, len(letters)))
+    for i, letter in enumerate(letters):
+        if closed and letter not in "em":
+            out.append((first, i))
+            first, closed = i, False
+        if letter == "w":
+            worded = True
+        elif worded and letter in "eE":
+            worded, closed = False, True
+    n = len(letters)
+    if closed or (first < n and (worded or not out)):
+        out.append((first, n))
+    elif first < n:
+        out[-1] = (out[-1][0], n)
     return out
 
 
@@ -164,3 +184,14 @@ def sentence_column(text: Column, tokens: Column | None, lang: str) -> Column:
         return pd.DataFrame([one(t, k) for t, k in zip(ts, ks, strict=True)], columns=["words", "chars", "asks", "n_default", "n_kincaid", "n_cetinkaya"])
 
     return run(text, F.lit(None).cast("array<string>") if tokens is None else tokens)
+
+
+def count_column(text: Column, tokens: Column | None, lang: str, kind: str = "default") -> Column:
+    """The number of sentences of each text under one set of marks, without the sentences. Null tokens are taken by rule."""
+    check_lang(lang)
+
+    @F.pandas_udf("int")
+    def run(ts: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([count(rule_tokens(t or "") if k is None else list(k), kind, lang) for t, k in zip(ts, ks, strict=True)], dtype="int32")
+
+    return run(text, F.lit(None).cast("array<string>") if tokens is None else tokens)

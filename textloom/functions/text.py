@@ -19,19 +19,22 @@ def nan() -> Column:
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Half up on the scaled value, NaN kept; the sum with 0.0 turns -0.0 into 0.0.
+    """Half up on the scaled value, NaN kept; the sum with 0.0 turns -0.0 into 0.0. The value is worked out once.
 
     Half-way cases can differ by one in the last digit from a rounding of the exact binary value to even.
     """
-    x = x.cast("double")
-    scaled = F.floor(x * F.lit(10.0**digits) + F.lit(0.5)).cast("double") / F.lit(10.0**digits) + F.lit(0.0)
-    return F.when(F.isnan(x) | x.isNull(), nan()).otherwise(scaled)
+
+
+    def scaled(v: Column) -> Column:
+        up = F.floor(v * F.lit(10.0**digits) + F.lit(0.5)).cast("double") / F.lit(10.0**digits) + F.lit(0.0)
+        return F.when(F.isnan(v) | v.isNull(), nan()).otherwise(up)
+
+    return let(x.cast("double"), scaled)
 
 
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
     """part / whole, NaN where whole is 0 or null."""
-    w = whole.cast("double")
-    return F.when(w.isNull() | (w == 0), nan()).otherwise(rounded(part.cast("double") / F.when(w != 0, w), digits))
+    return rounded(part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)), digits)
 
 
 def when_or_nan(test: Column, value: Column) -> Column:
@@ -65,17 +68,17 @@ def units(text: Column, lang: str) -> Column:
     """
     strip = lambda c: F.btrim(c, F.lit(EDGE_MARKS))
 
-    def ordinals(cs: Column) -> Column:
-        def unit(c: Column, i: Column) -> Column:
-            u = strip(c)
-            after = F.substring(c, F.instr(c, u) + F.length(u), F.length(c))
-            follows = F.coalesce(F.get(cs, i + 1), F.lit("")).rlike(ALNUM)
-            dot = after.startswith(".") & ((F.substring(after, 2, 1) == ",") | ((after == ".") & follows))
-            return F.when(_digits(u) & dot, F.concat(u, F.lit("."))).otherwise(u)
-
-        return F.transform(cs, unit)
-
-    us = let(chunks(text), ordinals) if lang == "tr" else F.transform(chunks(text), strip)
+    def ordinal(pair: Column) -> Column:
+        c = pair["c"]
+        u = strip(c)
+        after = F.substring(c, F.instr(c, u) + F.length(u), F.length(c))
+        follows = F.coalesce(pair["next"], F.lit("")).rlike(ALNUM)
+        dot = after.startswith(".") & ((F.substring(after, 2, 1) == ",") | ((after == ".") & follows))
+        return F.when(_digits(u) & dot, F.concat(u, F.lit("."))).otherwise(u)
+
+    cs = chunks(text)
+    # a lambda that reads another one's variable can't stand in a UDF's argument: so chunks come with their neighbours
+    us = F.transform(F.arrays_zip(cs.alias("c"), F.slice(cs, 2, 1 << 30).alias("next")), ordinal) if lang == "tr" else F.transform(cs, strip)
     return F.filter(us, lambda u: u.rlike(ALNUM) | u.rlike(f"^[{SYMBOLS}]+$"))
 
 

@@ -28,15 +28,20 @@ def mark_string(text: Column) -> Column:
 
 
 def with_punctuation(df: DataFrame, text: str, words: str) -> DataFrame:
-    """Add the 20 measures; `words` are the forms as written. Marks count as neighbours where nothing stands between them."""
+    """Add the 20 measures; `words` are the forms as written. Marks count as neighbours where nothing stands between them.
+
+    The text is cut down to its marks once, stretches of anything else being one x: all counts are of that short string.
+    """
     # An apostrophe inside a word keeps its neighbours apart, so it becomes a letter here.
-    df = df.withColumn("_marks", F.regexp_replace(F.regexp_replace(F.col(text), r"\.{3,}", "…"), r"(?<=\p{L})['’](?=\p{L})", "x"))
-    df = df.withColumn("_kinds", F.array(*(F.length(F.regexp_replace("_marks", f"[^{_class(m)[1:-1]}]", "")) for m in MARKS.values())))
+    whole = F.regexp_replace(F.regexp_replace(F.col(text), r"\.{3,}", "…"), r"(?<=\p{L})['’](?=\p{L})", "x")
+    df = df.withColumn("_marks", F.regexp_replace(whole, f"[^{_class(ALL)[1:-1]}]+", "x"))
+    of = lambda m: (F.length("_marks") - F.length(F.translate("_marks", m, ""))).cast("double")
+    near = A.total(F.filter(F.split("_marks", "x"), lambda r: F.length(r) > 1), F.length)
+    spelled = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"\P{L}", "")), lambda w: w != "")
+    df = df.withColumns({"_kinds": F.array(*map(of, MARKS.values())), "_near": near, "_spelled": spelled, "_chars": F.length(text).cast("double")})
     df = df.withColumn("_n", A.total(F.col("_kinds")))
-    chars, n, kinds = F.length(text).cast("double"), F.col("_n"), F.col("_kinds")
+    chars, n, kinds, spelled = F.col("_chars"), F.col("_n"), F.col("_kinds"), F.col("_spelled")
     some, any_text = n > 0, chars > 0
-    runs = F.regexp_extract_all("_marks", F.lit(f"({_class(ALL)}{{2,}})"), 1)
-    spelled = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"\P{L}", "")), lambda w: w != "")
     made = {
         "char_count": T.when_or_nan(any_text, chars),
         "digit_ratio": T.ratio(F.regexp_count(text, F.lit(r"\p{Nd}")), chars),
@@ -44,13 +49,13 @@ def with_punctuation(df: DataFrame, text: str, words: str) -> DataFrame:
         **{f"punct_{k}_ratio": T.ratio(F.get(kinds, F.lit(i)), n) for i, k in enumerate(MARKS)},
         "punct_char_ratio": T.ratio(n, chars),
         "punct_entropy": F.when(some, T.rounded(A.entropy(F.filter(kinds, lambda c: c > 0), n), 6)).otherwise(T.nan()),
-        "consecutive_punct_ratio": T.ratio(A.total(runs, F.length), n),
+        "consecutive_punct_ratio": T.ratio(F.col("_near"), n),
         "whitespace_ratio": T.ratio(F.regexp_count(text, F.lit(f"[{SPACE_CLASS}]")), chars),
         "punct_variety": T.when_or_nan(any_text, A.count(kinds, lambda c: c > 0)),
         "uppercase_ratio": T.ratio(A.count(spelled, lambda w: w.rlike(r"^\p{Lu}")), F.size(spelled)),
         "all_caps_word_ratio": T.ratio(A.count(spelled, lambda w: w.rlike(r"^\p{Lu}{2,}$")), F.size(spelled)),
     }
-    return df.withColumns(made).drop("_marks", "_kinds", "_n")
+    return df.withColumns(made).drop("_marks", "_kinds", "_near", "_spelled", "_chars", "_n")
 
 
 def letter_keys(lang: str) -> list[str]:
