@@ -2,19 +2,24 @@
 
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import textloom
+from textloom import errors, vocab
 from textloom.functions import arrays as A
 from textloom.functions import readings, sampled, sentences, syllables
 from textloom.functions import text as T
 from textloom.functions.alignment import word_tokens
-from textloom.operators import frequency, kalyoncu, lexical, morphology, pos
+from textloom.operators import frequency, kalyoncu, lexical, morphology, pos, workflows
 from textloom.params import FeatureParams
 from textloom.plans import registry
+from textloom.plans.analyze import analyze_text
+from textloom.sources import corpus, segments
 from textloom.sources.segments import segment_text, segments_column
 
 
@@ -311,3 +316,171 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = textloom.analyze(d, "tr", ["punctuation", "chars"])
     same = lambda x: sorted(map(str, x.collect()))
     assert same(spark.read.parquet(str(tmp_path / "out"))) == same(batch)
+
+# ---- long texts and rewritten rules
+
+
+def test_sentences_of_long_texts_take_linear_time():
+    began = time.time()
+    for text in ("kelime " * 1_000_000, ". " * 300_000, "vb. " * 200_000, "Bu bir cümledir. " * 300_000):
+        tokens = sentences.rule_tokens(text)
+        cut = sentences.spans(tokens, "tr")
+        assert cut[0][0] == 0 and cut[-1][1] == len(tokens) and all(a[1] == b[0] for a, b in zip(cut, cut[1:], strict=False))
+    assert len(cut) == sentences.count(tokens) == 300_000
+    assert time.time() - began < 40
+
+
+def test_one_long_text_through_a_group(spark):
+    """A text of 5 MB, 300,000 sentences of three words."""
+    row = analyze_text(spark, "Bu bir cümledir. " * 300_000, "tr", groups=["sentence"], warn=False)
+    assert row["sent_count"] == 300_000 and row["sent_len_mean"] == 3 and row["question_sent_ratio"] == 0
+
+
+def walk_code(tokens, kind, lang):
+    """The letters of tokens by looking left and right from each token."""
+    ends, maybe = vocab.SENTENCE_SETS[kind]
+    alnum = lambda t: any(c.isalnum() for c in t)
+    out = []
+    for i, t in enumerate(tokens):
+        if alnum(t):
+            out.append("w")
+            continue
+        ending = any(c in ends for c in t)
+        if ending and lang == "tr" and t == ".":
+            before = [x for x in tokens[:i] if alnum(x)]
+            after = [x for x in tokens[i + 1 :] if alnum(x)]
+            if before and readings.tr_abbreviation(before[-1]) is not None:
+                ending = not after or after[0][0].isupper()
+        elif not ending and any(c in maybe for c in t):
+            nxt = tokens[i + 1] if i + 1 < len(tokens) else None
+            ending = nxt is None or nxt[0] in vocab.NEW_SENTENCE_OPENERS or (alnum(nxt) and nxt[0].isupper())
+        opener = t[0] in vocab.OPENERS_ONLY
+        out.append(("E" if opener else "e") if ending else "o" if opener else "m")
+    return "".join(out)
+
+
+def test_sentence_letters_against_a_search_at_each_token():
+    rng = random.Random(8)
+    some = ["Dr", "vb", "kg", "ev", "Ev", "3", ".", "..", "?", "!", "…", ":", ";", "(", ")", "“", "”", "-", "«", "T.C", "!?"]
+    for _ in range(4000):
+        tokens = [rng.choice(some) for _ in range(rng.randint(0, 12))]
+        for lang in ("tr", "en"):
+            for kind in vocab.SENTENCE_SETS:
+                letters = walk_code(tokens, kind, lang)
+                assert sentences.code(tokens, kind, lang) == letters
+                found = list(re.finditer("[^w]*w[^eE]*[eE]", letters))
+                assert sentences.count(tokens, kind, lang) == len(found) + ("w" in letters[found[-1].end() if found else 0 :])
+
+
+def test_mtld_against_the_definition():
+    rng = random.Random(9)
+
+    def factors(words):
+        n, start = 0.0, 0
+        for i in range(len(words)):
+            share = len(set(words[start : i + 1])) / (i + 1 - start)
+            if share <= 0.72:
+                n, start = n + 1, i + 1
+        return n + ((1 - share) / 0.28 if start < len(words) else 0)
+
+    for kinds in (2, 30, 300, 5000):
+        words = [str(rng.randrange(kinds)) for _ in range(rng.randint(100, 2500))]
+        a, b = factors(words), factors(words[::-1])
+        want = (len(words) / a + len(words) / b) / 2 if a and b else math.nan
+        assert sampled.mtld(words, 0.72, 100) == pytest.approx(want, nan_ok=True)
+
+
+def test_vocd_finds_the_least_squares():
+    rng = random.Random(10)
+    p = FeatureParams(vocd_num_samples=20, vocd_num_runs=1)
+    words = [str(rng.randrange(150)) for _ in range(400)]
+    draw, sizes = random.Random(p.vocd_random_seed), range(p.vocd_sample_min, p.vocd_sample_max + 1)
+    shares = [sum(len(set(draw.sample(words, k))) / k for _ in range(20)) / 20 for k in sizes]
+    error = lambda d: sum((d / k * (math.sqrt(1 + 2 * k / d) - 1) - s) ** 2 for k, s in zip(sizes, shares, strict=True))
+    d = sampled.vocd(words, p)
+    assert error(d) <= min(error(d * 1.0001), error(d * 0.9999))
+    assert sampled.vocd([str(i) for i in range(100)], p) == pytest.approx(1e5)
+
+
+def test_numbers_are_spelled():
+    for n, said in {1_000_000: "bir milyon", 1000: "bin", 2100: "iki bin yüz", 101_001: "yüz bir bin bir", 10**14: "yüz trilyon", 0: "sıfır"}.items():
+        assert readings.tr_number(str(n)) == said
+    for token, said in {"2005": "two thousand five", "2015": "twenty fifteen", "1900": "nineteen hundred", "1,918": "one thousand nine hundred eighteen", "007": "zero zero seven", "3.14": "three point one four", "0": "zero"}.items():
+        assert readings.en_number(token) == said
+    assert readings.tr_number("1" + "0" * 15) is None and readings.en_number("1" * 16) is None
+    assert readings.tr_time("24:59") == "yirmi dört elli dokuz" and readings.tr_time("3:2") == "üç iki" and readings.tr_time("123.45") is None and readings.tr_time("9.05") == "dokuz sıfır beş"
+
+
+def test_chunks_of_long_texts(spark):
+    rng = random.Random(11)
+
+    def plain(text, most):
+        out, at = [], 0
+        while len(text) - at > most:
+            cut = next((i + len(e) for e in ("\n\n", "\n", ". ", " ") if (i := text.rfind(e, at, at + most)) >= 0), at + most)
+            out.append(text[at:cut])
+            at = cut
+        return [c for c in [*out, text[at:]] if c.strip()]
+
+    for _ in range(300):
+        text = "".join(rng.choice(["word", " ", ". ", "\n", "\n\n", "x" * 30, "é"]) for _ in range(rng.randint(0, 60)))
+        most = rng.choice([1, 2, 10, 25, 500])
+        assert segments.chunk_text(text, most) == (plain(text, most) if len(text) > most else [text])
+    d = rows(spark, ["a b c", None]).select(segments.chunks_column(F.col("text"), 2).alias("c"))
+    assert [r["c"] for r in d.collect()] == [["a ", "b ", "c"], None]
+
+
+def test_workflows(spark):
+    d = spark.createDataFrame([("a", 1.0, 5.0, 10.0), ("a", 2.0, 5.0, 30.0), ("b", math.nan, 5.0, 0.0)], "label string, x double, y double, n double")
+    assert workflows.varying(d, ["x", "y"]) == ["x"]
+    one, two = d.limit(1).select("x", "y"), spark.createDataFrame([(4.0, math.nan)], "x double, y double")
+    assert [tuple(r) for r in workflows.compare(one, two, ["x", "y"]).collect()] == [("x", 1.0, 4.0, 3.0)]
+    assert [tuple(r) for r in workflows.differences(d, d.withColumn("y", F.when(F.col("n") == 30, 6.0).otherwise(F.col("y"))), ["label", "n"], ["x", "y"]).collect()] == [("a", 30.0, "y")]
+    rates = {(r["label"], r["phrase"]): (r["n"], r["rate"]) for r in workflows.phrase_rates(d, "label", "n", ["x", "y"]).collect()}
+    assert rates == {("a", "x"): (3.0, 75.0), ("a", "y"): (10.0, 250.0), ("b", "y"): (5.0, None)}
+
+
+def test_files_that_are_not_utf8_are_named(spark, tmp_path):
+    for name, raw in {"a_x.txt": b"fine", "b_y.txt": b"ab\xff", "c_z.txt": "é".encode() + b"\xc3"}.items():
+        (tmp_path / name).write_bytes(raw)
+    with pytest.raises(errors.LinguisticFeaturesError) as e:
+        corpus.read_folder(spark, str(tmp_path))
+    said = str(e.value)
+    assert "2 file(s)" in said and "b_y.txt (byte 2)" in said and "c_z.txt (byte 2)" in said and "a_x" not in said
+
+
+def test_heads_with_gaps_and_circles(spark):
+    """Depths and distances against a walk, for token numbers that aren't in a row, unknown heads and circles."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        made = []
+        for _ in range(rng.randint(0, 3)):
+            n = rng.randint(1, 9)
+            ids = list(range(5, 5 + n)) if rng.random() < 0.5 else rng.sample(range(40), n)
+            made.append([(i, rng.choice(["NOUN", "VERB", "PUNCT"]), "dep", rng.choice([*ids, 99]) if rng.random() < 0.9 else i) for i in ids])
+        texts.append(made)
+
+    def plain(made):
+        arcs, depths = [], []
+        for s in made:
+            head, words = {i: h for i, _, _, h in s}, [i for i, p, _, _ in s if p != "PUNCT"]
+            far = [abs(words.index(i) - words.index(head[i])) for i in words if head[i] != i and head[i] in words]
+            deep = []
+            for i in words:
+                if head[i] == i:
+                    continue
+                at, seen = i, {i}
+                while len(seen) <= 20 and at in head and head[at] not in seen:
+                    at = head[at]
+                    seen.add(at)
+                deep.append(len(seen) - 1)
+            arcs += [sum(far) / len(far)] if far else []
+            depths += [sum(deep) / len(deep)] if deep else []
+        mean = lambda x: round(sum(x) / len(x), 5) if x else None
+        return mean(arcs), mean(depths)
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, dep array<array<struct<i: int, upos: string, rel: string, head: int>>>")
+    got = {r["id"]: tuple(None if math.isnan(v) else v for v in (r["arc_len_mean"], r["parse_depth_mean"])) for r in pos.with_dependencies(d, "dep").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain(t), abs=2e-5, nan_ok=True) if None not in plain(t) else got[i] == plain(t), (i, t)

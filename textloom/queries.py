@@ -8,18 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays as A
+from .functions import readings, syllables
 from .functions import text as T
 from .functions.alignment import view_column
-from .functions.sentences import sentence_column
+from .functions.sentences import count_column, sentence_column
 from .operators import frequency, lexical, morphology, ngrams, phonology, pos, punctuation, readability, sentence, workflows
 from .params import DEFAULT
-from .plans.analyze import analyze
+from .plans.analyze import TAGGED_LEXICAL, analyze
 from .sources.segments import segment
-from .vocab import ALPHABETS, EDGE_MARKS, TOKEN
+from .vocab import ALPHABETS, BEZIRCI, EDGE_MARKS, SYLLABLE_VOWELS_TR, SYMBOLS, TOKEN
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,7 +154,23 @@ def lexical_hdd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls(d.withColumn("hdd", lexical.hdd("_f", F.size("_w").cast("double"), 42)), "doc_id", "hdd")
 
 
-@query()
+def _fold_sql(steps: str, limit: float = 0.72) -> str:
+    """Factors of MTLD by one fold over a list of places: f closed factors, s the open one's start, t its types, r its share."""
+    share = "((st.t + (el.q < st.s)::INT)::DOUBLE / (el.p - st.s + 1))"
+    hit = f"{share} <= {limit}"
+    step = f"{{'f': st.f + ({hit})::INT, 's': CASE WHEN {hit} THEN el.p + 1 ELSE st.s END, 't': CASE WHEN {hit} THEN 0 ELSE st.t + (el.q < st.s)::INT END, 'p': el.p, 'q': el.q, 'r': CASE WHEN {hit} THEN 1.0 ELSE {share} END}}"
+    return f"list_reduce({steps}, lambda st, el: {step})"
+
+
+_STEP = "{{'f': 0::INT, 's': 1::BIGINT, 't': 1::INT, 'p': ({p})::BIGINT, 'q': ({q})::BIGINT, 'r': 1.0::DOUBLE}}"
+
+
+@query(
+    f"""WITH {words_sql()}, {_NV}, g AS (SELECT doc_id, n, p, lag(p) OVER v AS prev, lead(p) OVER v AS next FROM w JOIN nv USING (doc_id) WHERE n >= 100 WINDOW v AS (PARTITION BY doc_id, w ORDER BY p)),
+l AS (SELECT doc_id, any_value(n) AS n, list({_STEP.format(p='p', q='coalesce(prev, 0)')} ORDER BY p) AS a, list({_STEP.format(p='n + 1 - p', q='coalesce(n + 1 - next, 0)')} ORDER BY p DESC) AS b FROM g GROUP BY doc_id),
+r AS (SELECT doc_id, n, {_fold_sql('a')} AS a, {_fold_sql('b')} AS b FROM l), f AS (SELECT doc_id, n, a.f + (1 - a.r) / (1 - 0.72::DOUBLE) AS a, b.f + (1 - b.r) / (1 - 0.72::DOUBLE) AS b FROM r)
+SELECT d.doc_id, {_r('(n / a + n / b) / 2', 4, 'a > 0 AND b > 0')} AS mtld FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id"""
+)
 def lexical_mtld(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import sampled
 
@@ -299,21 +316,96 @@ n AS (SELECT doc_id, count(*)::DOUBLE AS n, sum(regexp_matches(v, '^([eiöü]+|[
 SELECT d.doc_id, {_r('f / n', 5)} AS harmony_fronting_ratio, {_r('r / n', 5)} AS harmony_rounding_ratio FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
 )
 def vowel_harmony_tr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).withColumn("_w", F.transform(T.words(F.col("text"), "en"), lambda w: T.lower(w, "tr")))
+    d = documents(spark, sf_dir).withColumn("_w", F.transform(T.words(F.col("text"), "tr"), lambda w: T.lower(w, "tr")))
     return nulls(d.withColumns(phonology.harmony_measures("_w")), "doc_id", *phonology.HARMONY_KEYS)
 
 
-_ALPHA_SYLLABLES = f"""h AS (SELECT doc_id, length(regexp_replace(lower(translate(form, 'Iİ', 'ıi')), '[^aeıioöuüâîû]', '', 'g')) AS h FROM w WHERE regexp_matches(form, '^\\p{{L}}{{5,}}$')),
-n AS (SELECT doc_id, count(*)::DOUBLE AS n, sum(h)::DOUBLE AS s, {', '.join(f'sum((least(h, 6) = {i})::INT)::DOUBLE AS k{i}' for i in range(1, 7))} FROM h WHERE h > 0 GROUP BY doc_id)"""
+# how a Turkish unit is read, in SQL: the tables are those of functions.readings
+
+_LOW_TR = "lower(translate({}, 'Iİ', 'ıi'))"
+_APOSTROPHES = "[''’]"
+
+
+def _vowels_sql(x: str) -> str:
+    return f"length(regexp_replace({_LOW_TR.format(x)}, '[^{SYLLABLE_VOWELS_TR}]', '', 'g'))"
+
+
+def _said(words: str) -> int:
+    return sum(map(syllables.vowels_tr, words.split()))
+
+
+_ONES = [0, *(_said(w) for w in readings.TR_ONES[1:])]
+_TENS = [0, *(_said(w) for w in readings.TR_TENS)]
+_HUNDREDS = [0, 1, *(k + 1 for k in _ONES[2:])]
+
+
+def _digits_sql(d: str) -> str:
+    """Syllables of a string of digits, null from 10**15 on; with a leading zero digit by digit."""
+    single = " + ".join(f"{_said(w)} * (length({d}) - length(replace({d}, '{i}', '')))" for i, w in enumerate(readings.TR_ONES))
+    at = lambda j, k: f"substr(lpad({d}, 15, '0'), {3 * j + k}, 1)::INT + 1"
+    under = lambda j: f"{_HUNDREDS}[{at(j, 1)}] + {_TENS}[{at(j, 2)}] + {_ONES}[{at(j, 3)}]"
+    group = lambda j: f"substr(lpad({d}, 15, '0'), {3 * j + 1}, 3)"
+    named = " + ".join(f"CASE WHEN {group(j)} = '000' THEN 0 ELSE {under(j)} + {_said(name)} END" for j, name in enumerate(("trilyon", "milyar", "milyon")))
+    thousands = f"CASE {group(3)} WHEN '000' THEN 0 WHEN '001' THEN 1 ELSE {under(3)} + 1 END"
+    return f"(CASE WHEN starts_with({d}, '0') THEN {single} WHEN length({d}) <= 15 THEN {named} + {thousands} + {under(4)} END)"
+
 
+def _token_sql(x: str) -> str:
+    """Syllables of a token, null if it can't be read."""
+    bare = f"replace({x}, '.', '')"
+    exact = " ".join(f"WHEN {_Q(k)} THEN {_said(v)}" for k, v in readings.TR_EXACT.items())
+    listed = " ".join(f"WHEN {_Q(k)} THEN {_said(v)}" for k, v in readings.TR_ABBREVIATIONS.items())
+    abbreviation = f"coalesce(CASE {bare} {exact} END, CASE {_LOW_TR.format(bare)} {listed} END)"
+    letters = lambda y: f"CASE WHEN regexp_full_match({y}, '\\p{{L}}+') THEN CASE WHEN {_vowels_sql(y)} > 0 THEN {_vowels_sql(y)} WHEN regexp_full_match({y}, '\\p{{Lu}}+') THEN length({y}) END END"
+    whole, part = f"replace(split_part({x}, ',', 1), '.', '')", f"split_part({x}, ',', 2)"
+    number = f"CASE WHEN regexp_full_match({x}, '([0-9]{{1,3}}(\\.[0-9]{{3}})+|[0-9]+)(,[0-9]+)?') THEN {_digits_sql(whole)} + CASE WHEN {part} = '' THEN 0 ELSE {_said('virgül')} + {_digits_sql(part)} END END"
+    first, second = (f"regexp_extract({x}, '([0-9]+)[:.]([0-9]+)', {k})" for k in (1, 2))
+    clock = f"length({second}) = 2 AND TRY_CAST({first} AS HUGEINT) <= 24 AND {second} < '60' AND (contains({x}, ':') OR length({first}) <= 2)"
+    hour = f"TRY_CAST({first} AS HUGEINT)::VARCHAR"
+    time = f"CASE WHEN regexp_full_match({x}, '[0-9]+[:.][0-9]+') THEN CASE WHEN {clock} THEN {_digits_sql(hour)} + CASE WHEN {second} = '00' THEN 0 ELSE {_digits_sql(second)} END WHEN contains({x}, ':') THEN {_digits_sql(first)} + {_digits_sql(second)} END END"
+    rank = f"TRY_CAST({bare} AS HUGEINT)::VARCHAR"
+    ending = f"CASE WHEN regexp_matches({rank}, '([267]|[25]0)$') THEN 1 ELSE 2 END"  # behind iki, altı, yedi, yirmi and elli the suffix is one syllable
+    ordinal = f"CASE WHEN regexp_full_match({x}, '[0-9]+\\.') AND length({rank}) <= 15 THEN {_digits_sql(rank)} + {ending} END"
+    amount, unit = (f"regexp_extract({x}, '^([0-9]+(?:,[0-9]+)?)(\\p{{L}}+)$', {k})" for k in (1, 2))
+    units = " ".join(f"WHEN {_Q(k)} THEN {_said(v)}" for k, v in readings.TR_UNITS_BEHIND_NUMBERS.items())
+    unit_listed = f"coalesce(CASE {unit} {units} END, CASE {unit} {exact} END, CASE {_LOW_TR.format(unit)} {listed} END, {letters(unit)})"
+    whole2, part2 = f"split_part({amount}, ',', 1)", f"split_part({amount}, ',', 2)"
+    glued = f"CASE WHEN {amount} <> '' THEN {_digits_sql(whole2)} + CASE WHEN {part2} = '' THEN 0 ELSE {_said('virgül')} + {_digits_sql(part2)} END + {unit_listed} END"
+    return f"coalesce({abbreviation}, {number}, {time}, {ordinal}, {glued}, {letters(x)})"
 
-@query(f"WITH {words_sql()}, {_ALPHA_SYLLABLES} SELECT d.doc_id, {_r('s / n', 4)} AS syllable_mean, " + ", ".join(f"{_r(f'k{i} / n', 6)} AS {k}" for i, k in enumerate(phonology.SHARES, 1)) + " FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id")
+
+_SYMBOL_SYLLABLES = " + ".join(f"{_said(v)} * (length(edge) - length(replace(edge, {_Q(k)}, '')))" for k, v in readings.TR_SYMBOLS.items())
+_INITIALS = "CASE WHEN regexp_full_match({0}, '(\\p{{L}}\\.)+\\p{{L}}?') THEN length(regexp_replace({0}, '\\P{{L}}', '', 'g')) END"
+
+
+def units_tr_sql(table: str = "documents", key: str = "doc_id") -> str:
+    """CTEs ending in hs (key, form, is_word, letters, h): every Turkish unit of a text with its syllables, null if unreadable."""
+    alnum = "'[\\p{L}\\p{N}]'"
+    return f"""uc AS (SELECT {key}, unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS chunk, generate_subscripts(regexp_extract_all(text, '[^ \\t\\r\\n]+'), 1) AS i FROM {table}),
+ut AS (SELECT {key}, i, chunk, trim(chunk, {_EDGE}) AS u, lead(chunk) OVER (PARTITION BY {key} ORDER BY i) AS nx FROM uc),
+ua AS (SELECT *, substr(chunk, instr(chunk, u) + length(u)) AS af FROM ut WHERE u <> ''),
+uf AS (SELECT {key}, i, CASE WHEN regexp_full_match(u, '[0-9]+') AND (starts_with(af, '.,') OR (af = '.' AND coalesce(regexp_matches(nx, {alnum}), false))) THEN u || '.' ELSE u END AS form, regexp_matches(u, {alnum}) AS is_word FROM ua
+ WHERE regexp_matches(u, {alnum}) OR regexp_full_match(u, '[{SYMBOLS}]+')),
+us AS (SELECT *, trim(form, {_Q(SYMBOLS)}) AS core, regexp_replace(form, '\\P{{L}}', '', 'g') AS letters, regexp_extract(form, '^([^''’]+){_APOSTROPHES}', 1) AS stem FROM uf),
+ue AS (SELECT *, substr(form, 1, length(form) - length(ltrim(form, {_Q(SYMBOLS)}))) || CASE WHEN core = '' THEN '' ELSE substr(form, length(rtrim(form, {_Q(SYMBOLS)})) + 1) END AS edge, substr(form, length(stem) + 2) AS suffix FROM us),
+tl AS (SELECT DISTINCT tok FROM (SELECT unnest([form, stem, core]) AS tok FROM ue UNION ALL SELECT unnest(string_split(core, '-')) FROM ue WHERE contains(core, '-'))),
+th AS (SELECT tok, {_token_sql('tok')} AS h FROM tl),
+u1 AS (SELECT ue.*, coalesce(a.h, CASE WHEN stem <> '' AND regexp_full_match(suffix, '(\\p{{L}}|{_APOSTROPHES})*') THEN b.h + {_vowels_sql('suffix')} END) AS h0, c.h AS h1 FROM ue LEFT JOIN th a ON a.tok = form LEFT JOIN th b ON b.tok = stem LEFT JOIN th c ON c.tok = core),
+hp AS (SELECT {key}, i, CASE WHEN count(h) = count(*) THEN sum(h) END AS h2 FROM (SELECT {key}, i, unnest(string_split(core, '-')) AS part FROM u1 WHERE h0 IS NULL AND contains(core, '-')) LEFT JOIN th ON tok = part GROUP BY ALL),
+hs AS (SELECT u1.{key}, form, is_word, letters, coalesce(h0, CASE WHEN core = '' THEN {_SYMBOL_SYLLABLES} ELSE {_SYMBOL_SYLLABLES} + coalesce(h1, CASE WHEN contains(core, '-') THEN h2 ELSE {_INITIALS.format('core')} END) END) AS h
+ FROM u1 LEFT JOIN hp ON hp.{key} = u1.{key} AND hp.i = u1.i)"""
+
+
+@query(
+    f"""WITH {units_tr_sql()}, n AS (SELECT doc_id, count(h)::DOUBLE AS n, sum(h)::DOUBLE AS s, {', '.join(f'sum((h IS NOT NULL AND least(h, 6) = {i})::INT)::DOUBLE AS k{i}' for i in range(1, 7))} FROM hs WHERE is_word GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN regexp_matches(text, '[^ \\t\\r\\n]') THEN coalesce(s, 0.0) END AS syllable_count, {_r('s / n', 4, 'n > 0')} AS syllable_mean, """
+    + ", ".join(f"{_r(f'k{i} / n', 6, 'n > 0')} AS {k}" for i, k in enumerate(phonology.SHARES, 1)) + " FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"
+)
 def syllable_distribution_tr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over words of five letters or more and nothing else, which no listed abbreviation is, with a vowel."""
-    plain = F.filter(T.words(F.col("text"), "en"), lambda w: w.rlike(r"^\p{L}{5,}$") & T.lower(w, "tr").rlike("[aeıioöuüâîû]"))
-    d = documents(spark, sf_dir).withColumn("_w", plain).withColumn("_s", F.array("_w"))
-    d = phonology.with_syllables(d, "_w", "_s", F.lit(False), "tr")
-    return nulls(d, "doc_id", "syllable_mean", *phonology.SHARES)
+    """Every word unit of the texts under the Turkish rules: words, numbers, ordinals, times, abbreviations, suffixes."""
+    d = documents(spark, sf_dir).withColumn("_w", T.words(F.col("text"), "tr")).withColumn("_s", F.array("_w"))
+    d = phonology.with_syllables(d, "_w", "_s", T.is_blank(F.col("text")), "tr")
+    return nulls(d, "doc_id", "syllable_count", "syllable_mean", *phonology.SHARES)
 
 
 # ---- sentences
@@ -322,15 +414,26 @@ _CAP = "regexp_matches(nx, '^\\p{Lu}')"
 _TOK = TOKEN.replace("'", "''")
 
 
-def sentences_sql(table: str = "documents", key: str = "doc_id", kind: str = "default") -> str:
+def _abbreviated_sql(word: str) -> str:
+    bare = f"replace({word}, '.', '')"
+    return f"({bare} IN ({', '.join(map(_Q, readings.TR_EXACT))}) OR {_LOW_TR.format(bare)} IN ({', '.join(map(_Q, readings.TR_ABBREVIATIONS))}))"
+
+
+def sentences_sql(table: str = "documents", key: str = "doc_id", kind: str = "default", lang: str = "en") -> str:
     """CTEs tk (tokens), b (with real ends), s (with sentence numbers), following the rule as windows over tokens."""
     ends, maybe = {"default": (".?!…", True), "kincaid": (".?!;…", True), "cetinkaya": (".?!:()…", False)}[kind]
     inside = "".join("\\" + c if c in ".?!()" else c for c in ends)
     opener = "regexp_matches(nx, '^[\"''“”‘’«»‹›—–\\-(\\[]')"
     cond = f"(contains(tok, ':') AND (nx IS NULL OR {opener} OR ({_CAP} AND regexp_matches(nx, '[\\p{{L}}\\p{{N}}]'))))" if maybe else "false"
+    near = ""
+    sure = "true"
+    if lang == "tr":  # behind an abbreviation a dot ends a sentence only before a capital or nothing
+        word = "CASE WHEN regexp_matches(tok, '[\\p{L}\\p{N}]') THEN tok END IGNORE NULLS"
+        near = f", last_value({word}) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pw, first_value({word}) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nw"
+        sure = f"NOT (tok = '.' AND pw IS NOT NULL AND nw IS NOT NULL AND {_abbreviated_sql('pw')} AND NOT regexp_matches(nw, '^\\p{{Lu}}'))"
     return f"""a0 AS (SELECT {key}, unnest(regexp_extract_all(text, '{_TOK}')) AS tok, generate_subscripts(regexp_extract_all(text, '{_TOK}'), 1) AS i FROM {table}),
-a1 AS (SELECT *, regexp_matches(tok, '[\\p{{L}}\\p{{N}}]') AS al, lead(tok) OVER (PARTITION BY {key} ORDER BY i) AS nx FROM a0),
-a2 AS (SELECT *, NOT al AND (regexp_matches(tok, '[{inside}]') OR {cond}) AS pot, regexp_matches(tok, '^[“‘«‹(\\[—–\\-]') AS op, sum(al::INT) OVER (PARTITION BY {key} ORDER BY i) AS c FROM a1),
+a1 AS (SELECT *, regexp_matches(tok, '[\\p{{L}}\\p{{N}}]') AS al, lead(tok) OVER (PARTITION BY {key} ORDER BY i) AS nx{near} FROM a0),
+a2 AS (SELECT *, NOT al AND ((regexp_matches(tok, '[{inside}]') AND {sure}) OR {cond}) AS pot, regexp_matches(tok, '^[“‘«‹(\\[—–\\-]') AS op, sum(al::INT) OVER (PARTITION BY {key} ORDER BY i) AS c FROM a1),
 a3 AS (SELECT {key}, i, c > coalesce(lag(c) OVER (PARTITION BY {key} ORDER BY i), 0) AS real FROM a2 WHERE pot),
 b AS (SELECT a2.*, coalesce(real, false) AS fin FROM a2 LEFT JOIN a3 USING ({key}, i)),
 s0 AS (SELECT *, max(CASE WHEN fin THEN i END) OVER w AS lb, max(CASE WHEN al OR op THEN i END) OVER w AS ls, max(CASE WHEN al THEN i END) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS more FROM b
@@ -413,11 +516,22 @@ SELECT doc_id, {_r('4.71 * st / m + 0.5 * m / s - 21.43', 4, 'n > 0 AND s > 0')}
  {_r('n / s + 100 * lg / n', 4, 'n > 0 AND s > 0')} AS lix, {_r('lg / n', 5, 'n > 0')} AS long_word_ratio FROM x"""
 )
 def readability_ari_cli_lix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).withColumns({"_f": T.words(F.col("text"), "en"), "_y": T.symbols(F.col("text"), "en"), "_s": sentence_column(F.col("text"), None, "en")})
-    return nulls(d.withColumns(readability.general("text", "_f", "_y", F.col("_s.n_default"), "en")), "doc_id", "ari", "coleman_liau", "lix", "long_word_ratio")
+    d = documents(spark, sf_dir).withColumns({"_u": T.units(F.col("text"), "en"), "_s": count_column(F.col("text"), None, "en")})
+    d = d.withColumns({"_f": F.filter("_u", lambda u: u.rlike(T.ALNUM)), "_y": F.filter("_u", lambda u: ~u.rlike(T.ALNUM))})
+    return nulls(d.withColumns(readability.general("text", "_f", "_y", F.col("_s"), "en")), "doc_id", "ari", "coleman_liau", "lix", "long_word_ratio")
 
 
-@query()
+_BEZIRCI = " + ".join(f"{v} * sum((h IS NOT NULL AND least(h, 6) = {k} AND is_word)::INT)" for k, v in BEZIRCI.items())
+
+
+@query(
+    f"""WITH sd AS (WITH {sentences_sql(lang='tr')} {_count_sql('default')}), sc AS (WITH {sentences_sql(kind='cetinkaya', lang='tr')} {_count_sql('cetinkaya')}), {units_tr_sql()},
+u AS (SELECT doc_id, count(*) FILTER (WHERE is_word)::DOUBLE AS n, count(h) FILTER (WHERE is_word)::DOUBLE AS r, sum(h) FILTER (WHERE is_word)::DOUBLE AS hw, count(*)::DOUBLE AS m, count(h)::DOUBLE AS ra, sum(h)::DOUBLE AS ha,
+ ({_BEZIRCI})::DOUBLE AS bz, count(*) FILTER (WHERE is_word AND length(letters) >= 7)::DOUBLE AS lg FROM hs GROUP BY doc_id),
+x AS (SELECT d.doc_id, u.* EXCLUDE (doc_id), coalesce(sd.n, 0)::DOUBLE AS s, coalesce(sc.n, 0)::DOUBLE AS c FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN sd ON sd.doc_id = d.doc_id LEFT JOIN sc ON sc.doc_id = d.doc_id)
+SELECT doc_id, {_r('198.825 - 40.175 * (hw / r) - 2.61 * n / s', 4, 'r > 0 AND s > 0')} AS atesman, {_r('118.823 - 25.987 * (ha / ra) - 0.971 * m / c', 4, 'ra > 0 AND c > 0')} AS cetinkaya_uzun,
+ {_r('sqrt(n / s * bz / s)', 4, 'r > 0 AND s > 0')} AS bezirci_yilmaz, {_r('lg / n', 5, 'n > 0')} AS long_word_ratio FROM x"""
+)
 def readability_turkish(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = (*readability.TURKISH_KEYS, "long_word_ratio")
     return nulls(analyze(documents(spark, sf_dir), "tr", ["readability"], warn=False), "doc_id", *keys)
@@ -469,6 +583,18 @@ def ngram_phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.ngram_matches(documents(spark, sf_dir), ["of", "the"], "en").select("match", "n")
 
 
+@query(
+    f"WITH {_PIECES}, {words_sql()}, gw AS (SELECT source, count(*)::DOUBLE AS words FROM w JOIN documents USING (doc_id) GROUP BY source), gp AS (SELECT source, " + ", ".join(f"sum(({_phrase_sql(p)})::INT)::DOUBLE AS ngram_{'_'.join(p)}_count" for p in _PHRASES) + " FROM pl JOIN documents USING (doc_id) GROUP BY source), g AS (SELECT * FROM gw JOIN gp USING (source)) "
+    + " UNION ALL ".join(f"SELECT source, 'ngram_{'_'.join(p)}_count' AS phrase, coalesce(ngram_{'_'.join(p)}_count, 0) AS n, {_r(f'1000 * coalesce(ngram_{chr(95).join(p)}_count, 0) / words', 6)} AS rate FROM g" for p in _PHRASES)
+)
+def phrase_rates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases in 1,000 words of each source."""
+    d = ngrams.ngram_counts(documents(spark, sf_dir, "source"), [list(p) for p in _PHRASES], "en")
+    d = d.withColumn("words", F.size(T.words(F.col("text"), "en")).cast("double"))
+    rates = workflows.phrase_rates(d, "source", "words", [f"ngram_{'_'.join(p)}_count" for p in _PHRASES])
+    return nulls(rates.withColumn("rate", T.rounded(F.col("rate"), 6)), "source", "phrase", "n", "rate")
+
+
 @query(
     f"""WITH {_PIECES}, n AS (SELECT source, x || ' ' || x1 AS match, count(*)::BIGINT AS n FROM pl JOIN documents USING (doc_id) WHERE x IN ('of') AND x1 IN ('the') GROUP BY ALL UNION ALL
  SELECT source, x || ' ' || x1, count(*)::BIGINT FROM pl JOIN documents USING (doc_id) WHERE x = 'to' AND x1 = 'the' GROUP BY ALL),
@@ -535,9 +661,46 @@ def pos_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls(pos.with_pos(viewed(spark, sf_dir), "_pos", "_at"), "doc_id", "posddev", "posdiv")
 
 
+_TAGGED = (["ADJ", "NOUN"], ["OF", "NOUN"], ["NOUN", "the"], ["VERB", "DET", "NOUN"])
+
+
+def _item_sql(k: int, x: str) -> str:
+    item = ngrams.compile_phrase([x], "en")[0]
+    column = {"pos": "pos", "lemma": "lem", "form": "low"}[item.field]
+    return f"{column}{k} = {_Q(item.needle)}"
+
+
+def _tagged_sql(phrase: list[str]) -> str:
+    return " AND ".join([f"sid{len(phrase) - 1} = sid0", *(_item_sql(k, x) for k, x in enumerate(phrase))])
+
+
+@query(
+    f"WITH {_VIEW}, vx AS (SELECT doc_id, " + ", ".join(f"lead({e}, {k}) OVER q AS {c}{k}" for k in range(3) for c, e in (("pos", "pos"), ("lem", "lem"), ("low", "lower(form)"), ("sid", "sid")))
+    + " FROM vw WINDOW q AS (PARTITION BY doc_id ORDER BY p)), n AS (SELECT doc_id, " + ", ".join(f"coalesce(sum(({_tagged_sql(x)})::INT), 0)::DOUBLE AS {ngrams.key_of(ngrams.compile_phrase(x, 'en'))}" for x in _TAGGED)
+    + " FROM vx GROUP BY doc_id) SELECT d.doc_id, " + ", ".join(f"coalesce({k}, 0) AS {k}" for k in (ngrams.key_of(ngrams.compile_phrase(x, "en")) for x in _TAGGED)) + " FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"
+)
+def ngram_tag_and_lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of tags, lemmas and forms over annotated texts."""
+    keys = [ngrams.key_of(ngrams.compile_phrase(x, "en")) for x in _TAGGED]
+    return nulls(ngrams.ngram_counts(viewed(spark, sf_dir), [list(x) for x in _TAGGED], "en", view="_v"), "doc_id", *keys)
+
+
 _CONTENT = "pos IN ('NOUN', 'PROPN', 'VERB', 'ADJ', 'ADV')"
 
 
+@query(
+    f"""WITH {_VIEW}, k AS (SELECT doc_id, lem, count(*)::DOUBLE AS k, CASE WHEN length(lem) % 4 <> 0 THEN ((length(lem) * 7 + unicode(lem)) % 56)::DOUBLE / 8 ELSE 0 END AS z FROM vw WHERE {_CONTENT} GROUP BY ALL),
+n AS (SELECT doc_id, sum(k * z) / sum(k) AS m, sum(CASE WHEN z <= 3 THEN k ELSE 0 END) / sum(k) AS r FROM k GROUP BY doc_id)
+SELECT d.doc_id, {_r('m', 4)} AS wordfreq_mean, {_r('r', 5)} AS wordfreq_rare_ratio FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
+)
+def lexical_word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content lemmas met with a table of scores; the table stands in for a public one and lacks lemmas of four letters."""
+    d = viewed(spark, sf_dir)
+    table = d.select(F.explode("_lem").alias("lemma")).distinct().where(F.length("lemma") % 4 != 0)
+    table = table.select(F.lit("en").alias("lang"), "lemma", (F.pmod(F.length("lemma") * 7 + F.ascii("lemma"), F.lit(56)) / 8.0).alias("zipf"))
+    return nulls(lexical.word_frequency(d, "doc_id", "_lem", "_pos", table, "en"), "doc_id", "wordfreq_mean", "wordfreq_rare_ratio")
+
+
 @query(
     f"""WITH {_VIEW}, n AS (SELECT doc_id, count(DISTINCT lem)::DOUBLE AS l, count(*) FILTER (WHERE {_CONTENT})::DOUBLE AS c, count(*)::DOUBLE AS n, count(DISTINCT lem) FILTER (WHERE pos IN ('NOUN', 'PROPN')) AS nn,
  count(DISTINCT lem) FILTER (WHERE pos = 'VERB') AS vv, count(*) FILTER (WHERE pos = 'VERB')::DOUBLE AS v, count(DISTINCT lem) FILTER (WHERE pos = 'ADJ') AS aj, count(DISTINCT lem) FILTER (WHERE pos = 'ADV') AS av FROM vw GROUP BY doc_id)
@@ -573,6 +736,56 @@ def thematic_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls(d, "doc_id", "thematic_concentration", "secondary_thematic_concentration")
 
 
+_ROOTS, _SECOND, _THIRD = ("Noun", "Verb", "Adj", "Unk"), ("A3pl", "Acc", "Past", "Neg", "Pass", "Dat", "Able", "Fut"), ("Loc", "Cond", "Prog1", "Caus", "Gen", "Neces", "Narr")
+_SHOWN = tuple(k for k in morphology.SUFFIX_KEYS if k != "zeyrek_verb_suffix_diversity")
+
+
+def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """annotated texts with analyses by a rule on the token: a root of three letters, a suffix of two, and the rest."""
+    kind = lambda names, t, k: F.get(F.array(*map(F.lit, names)), F.pmod(F.length(t) * k + F.ascii(F.lower(t)), F.lit(len(names))))
+    part = lambda tag, t, a, n, deriv: F.struct(tag.alias("tag"), F.lower(F.substring(t, a, n)).alias("surface"), deriv.alias("deriv"))
+
+    def morphemes(t: Column) -> Column:
+        root = part(kind(_ROOTS, t, 3), t, 1, 3, F.lit(False))
+        second = part(kind(_SECOND, t, 1), t, 4, 2, F.length(t) % 2 == 0)
+        third = part(kind(_THIRD, t, 5), t, 6, 1000, F.lit(False))
+        return F.when(F.length(t) > 5, F.array(root, second, third)).when(F.length(t) > 3, F.array(root, second)).otherwise(F.array(root))
+
+    return annotated(spark, sf_dir).withColumn("morpheme_lists", F.transform("surface_tokens", morphemes))
+
+
+def _kind_sql(names: tuple[str, ...], k: int) -> str:
+    return f"[{', '.join(map(_Q, names))}][((length(tok) * {k} + unicode(lower(tok))) % {len(names)}) + 1]"
+
+
+_SUFFIXED = f"""ch AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS chunk, generate_subscripts(regexp_extract_all(text, '[^ \\t\\r\\n]+'), 1) AS ci FROM documents),
+ct AS (SELECT doc_id, ci, chunk, unnest(regexp_extract_all(chunk, '{_TOK}')) AS tok, generate_subscripts(regexp_extract_all(chunk, '{_TOK}'), 1) AS j FROM ch),
+ft AS (SELECT doc_id, ci, any_value(chunk) AS chunk, arg_min(tok, j) AS tok FROM ct WHERE regexp_matches(tok, '[\\p{{L}}\\p{{N}}]') GROUP BY ALL),
+mo AS (SELECT doc_id, length(tok) AS n, {_kind_sql(_ROOTS, 3)} AS a, CASE WHEN length(tok) > 3 THEN {_kind_sql(_SECOND, 1)} END AS b, CASE WHEN length(tok) > 5 THEN {_kind_sql(_THIRD, 5)} END AS c
+ FROM ft WHERE regexp_matches(trim(chunk, {_EDGE}), '[\\p{{L}}\\p{{N}}]')),
+ml AS (SELECT *, a = 'Verb' AS verb, CASE WHEN c IN ('Prog1', 'Narr') THEN c WHEN b IN ('Past', 'Fut') THEN b END AS tense FROM mo WHERE a <> 'Unk')"""
+_HELD = {"zeyrek_modal_possibility_ratio": "Able", "zeyrek_modal_necessity_ratio": "Neces", "zeyrek_negation_ratio": "Neg", "zeyrek_passive_ratio": "Pass", "zeyrek_conditional_suffix_ratio": "Cond", "zeyrek_causative_suffix_ratio": "Caus"}
+_SUFFIX_SQL = {
+    "zeyrek_agglutination_depth": _r("avg((n > 3)::INT + (n > 5)::INT)", 5), "zeyrek_suffix_char_length_ratio": _r("sum(greatest(n - 3, 0))::DOUBLE / sum(n)", 5), "zeyrek_suffix_bigram_entropy": _r("any_value(e) + 0.0", 5),
+    "zeyrek_derivational_suffix_ratio": _r("sum((n > 3 AND n % 2 = 0)::INT)::DOUBLE / nullif(sum((n > 3)::INT + (n > 5)::INT), 0)", 5), "zeyrek_plural_ratio": _r("avg((b IS NOT DISTINCT FROM 'A3pl' AND NOT verb)::INT)", 5),
+    "zeyrek_question_particle_ratio": "0.0", **{f"zeyrek_case_{c.lower()}_ratio": _r(f"avg((b IS NOT DISTINCT FROM '{c}' OR c IS NOT DISTINCT FROM '{c}')::INT)", 5) for c in morphology.CASES},
+    **{k: _r(f"avg((b IS NOT DISTINCT FROM '{t}' OR c IS NOT DISTINCT FROM '{t}')::INT) FILTER (WHERE verb)", 5) for k, t in _HELD.items()},
+    **{f"zeyrek_tense_{k}_ratio": _r(f"avg((tense IS NOT DISTINCT FROM '{t}')::INT) FILTER (WHERE verb)", 5) for k, t in (("past_def", "Past"), ("past_nar", "Narr"), ("present", "Prog1"), ("future", "Fut"))},
+}
+
+
+@query(
+    f"""WITH {_SUFFIXED}, bg AS (SELECT doc_id, b, c, count(*)::DOUBLE AS k FROM ml WHERE c IS NOT NULL GROUP BY ALL), bn AS (SELECT doc_id, sum(k) AS m FROM bg GROUP BY doc_id),
+be AS (SELECT doc_id, -sum((k / m) * ln(k / m)) AS e FROM bg JOIN bn USING (doc_id) GROUP BY doc_id), x AS (SELECT ml.doc_id, """
+    + ", ".join(f"{_SUFFIX_SQL[k]} AS {k}" for k in _SHOWN) + " FROM ml LEFT JOIN be USING (doc_id) GROUP BY ml.doc_id) SELECT d.doc_id, " + ", ".join(_SHOWN) + " FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id"
+)
+def suffix_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of suffix chains, but for the seeded one."""
+    d = analysed(spark, sf_dir)
+    d = d.withColumn("_v", view_column("en", set(d.columns))).withColumns({"_m": F.col("_v.morphemes"), "_p": F.col("_v.pos")})
+    return nulls(morphology.with_suffixes(d, "_m", "_p"), "doc_id", *_SHOWN)
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with heads by a rule: in sentences of up to ten neighbouring tokens, the first is the root, an even
     token hangs from the one before, an odd one from the first."""
@@ -683,7 +896,11 @@ def quality_by_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corpus_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups that need no model, of all texts under Turkish rules; the lexical group has queries of its own."""
+    """All measures that need no model, of all texts under Turkish rules, but for voc-D, whose seeded samples have a query
+    of their own."""
     groups = ["frequency_structure", "sentence", "paragraph", "phonological", "readability", "punctuation", "chars"]
-    m = analyze(documents(spark, sf_dir, "source"), "tr", groups, custom_ngrams=[["of", "the"]], warn=False).drop("text")
-    return nulls(m, *m.columns)
+    m = analyze(documents(spark, sf_dir, "source"), "tr", groups, custom_ngrams=[["of", "the"]], warn=False)
+    tagged = {*TAGGED_LEXICAL, "wordfreq_mean", "wordfreq_rare_ratio", "vocd_d"}
+    m = m.withColumn("_low", F.transform(T.words(F.col("text"), "tr"), lambda w: T.lower(w, "tr")))
+    m = lexical.with_lexical(m, "_low", T.is_blank(F.col("text")), lang="tr", only={*lexical.KEYS} - tagged)
+    return nulls(m, *(c for c in m.columns if not c.startswith("_") and c != "text"))

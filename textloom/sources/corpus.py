@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..errors import LinguisticFeaturesError
 from .segments import check_arguments, segment
@@ -19,18 +21,27 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+@F.pandas_udf(LongType())
+def _first_bad_byte(contents: pd.Series) -> pd.Series:
+    """Of each content the first byte that can't be read as UTF-8."""
+
+    def offset(raw: bytes) -> int | None:
+        try:
+            bytes(raw).decode("utf-8")
+        except UnicodeDecodeError as e:
+            return e.start
+        return None
+
+    return contents.map(offset)
+
+
 def _invalid(rows: DataFrame) -> LinguisticFeaturesError | None:
-    """An error that names every file that isn't UTF-8, with the first offset that can't be read."""
-    bad = rows.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", "content").collect()
+    """An error that names every file that isn't UTF-8, with the first offset that can't be read. The offsets are found
+    where the files are read; paths and offsets alone come to the driver."""
+    bad = rows.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", _first_bad_byte("content").alias("at")).collect()
     if not bad:
         return None
-    lines = []
-    for r in sorted(bad, key=lambda r: r["path"]):
-        try:
-            bytes(r["content"]).decode("utf-8")
-        except UnicodeDecodeError as e:
-            lines.append(f"  {r['path']} (byte {e.start})")
-    return LinguisticFeaturesError(f"{len(lines)} file(s) are not valid UTF-8:\n" + "\n".join(lines))
+    return LinguisticFeaturesError(f"{len(bad)} file(s) are not valid UTF-8:\n" + "\n".join(f"  {r['path']} (byte {r['at']})" for r in sorted(bad)))
 
 
 def _without_bom(c):

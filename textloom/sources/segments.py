@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +68,30 @@ def segment_text(text: str, segment_size: int = 1000, min_fill: float = 1.0, uni
         groups = [at[i : i + segment_size] for i in range(0, len(at), segment_size)]
         pieces = [(text[g[0][0] : g[-1][1]], len(g)) for g in groups]
     return [p for p, n in pieces if n >= segment_size * min_fill and p.strip()]
+
+
+@cache
+def _chunk_pattern(most: int) -> re.Pattern:
+    """The rest of the text if it is short enough, else as much as ends in the best kind of break, else `most` characters."""
+    ends = "|".join(f".{{0,{most - len(e)}}}{re.escape(e)}" for e in ("\n\n", "\n", ". ", " ") if len(e) <= most)
+    return re.compile(f"(?s:.{{1,{most}}}\\Z|{ends}|.{{1,{most}}})")
+
+
+def chunk_text(text: str, most: int = 50_000) -> list[str]:
+    """A text in chunks of at most `most` characters for an annotator, cut behind the last blank line in reach, else line
+    feed, full stop with a space, or space. Blank chunks drop out, but for a text that is one chunk."""
+    if most < 1:
+        raise ValueError(f"most must be positive: {most}")
+    if len(text) <= most:
+        return [text]
+    return [c for c in _chunk_pattern(most).findall(text) if c.strip()]
+
+
+def chunks_column(text: Column, most: int = 50_000) -> Column:
+    """array<string>: the chunks of each text; null for null."""
+
+    @F.pandas_udf("array<string>")
+    def run(ts: pd.Series) -> pd.Series:
+        return ts.map(lambda t: None if t is None else chunk_text(t, most))
+
+    return run(text)
