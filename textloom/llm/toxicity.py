@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
-Lexicon and pattern voters say toxic, clean or nothing about a text. A generative label model estimates each voter's
-accuracy, and which voters copy each other, from their votes on a bounded sample; its posterior labels train a linear
-classifier on lexicon hits and patterns, which scores all texts.
-
-The lexicons: a general one of English, German, French and Spanish insults; one of words that stand in toxic labelled
-texts far more often than in clean ones; and one of beginnings of words of that kind.
+Many lexicon and pattern voters say toxic, clean or nothing about a text. A generative label model estimates, from their
+votes on a bounded sample and without its labels, how often each voter says what about toxic and about clean texts, and
+how voters depend on each other: the votes of a class are a tree of pairwise tables, the tree of the greatest mutual
+information, so that voters that repeat one another count once. Its posterior alone trains a linear classifier on lexicon
+hits and patterns, which scores all texts.
+
+The lexicons: general ones of English, German, French and Spanish insults; one of words that stand in toxic labelled
+texts far more often than in clean ones; and one of beginnings of words of that kind. Labels serve for these two, on one
+half of the sample, and for the prior; the posterior is that of the other half.
 """
 
 from __future__ import annotations
@@ -23,22 +26,29 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, batch, fold_of, labelled_sample
 
-#: Insults about a person.
-NOUNS = "idiot idiots moron morons imbecile loser losers clown clowns scum trash garbage jerk fool dumbass scumbag bastard bitch asshole coward freak creep pig vermin parasite cretin dolt dunce halfwit nitwit simpleton wretch filth".split()
-#: Insulting qualities and acts.
-QUALITIES = "stupid pathetic worthless disgusting dumb useless ugly brainless idiotic moronic despicable vile revolting repulsive contemptible hateful braindead clueless spineless miserable shameful damn crap shit fuck fucking sucks".split()
-#: Insults of other languages.
-FOREIGN = "dumm idiotisch trottel vollidiot arschloch abschaum versager widerlich erbärmlich wertlos schwachkopf miststück connard connasse salaud crétin imbécile débile abruti pourriture ordure dégoûtant minable stupide estúpido estúpida imbécil asqueroso patético inútil basura escoria cabrón pendejo payaso".split()
+#: Insults, by what they are about; each list is a voter.
+LEXICONS = {
+    "mind": "idiot idiots moron morons imbecile cretin dolt dunce halfwit nitwit simpleton fool dumbass clueless brainless braindead idiotic moronic dumb stupid".split(),
+    "standing": "loser losers clown clowns jerk creep freak wretch coward spineless miserable shameful".split(),
+    "dirt": "scum scumbag trash garbage filth vermin pig parasite vile revolting repulsive disgusting".split(),
+    "worth": "pathetic worthless useless ugly despicable contemptible hateful".split(),
+    "obscene": "bastard bitch asshole damn crap shit fuck fucking sucks".split(),
+    "german": "dumm idiotisch trottel vollidiot arschloch abschaum versager widerlich erbärmlich wertlos schwachkopf miststück".split(),
+    "french": "connard connasse salaud crétin imbécile débile abruti pourriture ordure dégoûtant minable".split(),
+    "spanish": "estúpido estúpida imbécil asqueroso patético inútil basura escoria cabrón pendejo payaso".split(),
+}
 SECOND_PERSON = re.compile(r"\b(?:you|your|du|ihr|tu|vous|usted|eres)\b(?:\W+\w+){0,3}\W+(?:idiot|moron|loser|clown|trash|scum|stupid|pathetic|worthless|disgusting|dumb|fool|useless)", re.I)
 SHOUT = re.compile(r"(?:\b[A-Z]{3,}\b\W+){4}")
+EXCLAIM = re.compile(r"!{2,}")
 WORD = re.compile(r"\w+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample`: the most labelled rows that voters, label model and classifier use."""
+    """`sample`: the most labelled rows that voters, label model and classifier use, of texts of `longest` bytes at most."""
 
     sample: int = 6000
+    longest: int = 32_768
     learned_words: int = 400
     learned_stems: int = 60
     least_support: int = 5
@@ -49,18 +59,21 @@ class Settings:
     l2: float = 1e-3
 
 
+#: Learned words and stems are shared out to so many voters each.
+LEARNED = 4
+GENERAL = tuple(LEXICONS)
+N_GROUPS = len(GENERAL) + 2 * LEARNED
+N_EXTRA = 2 * N_GROUPS + 6
+
+
 @dataclass(frozen=True)
 class Model:
     words: tuple[str, ...]
-    groups: tuple[int, ...]  # of each word: 0 nouns, 1 qualities, 2 foreign, 3 learned, 4 learned stem (its word ends in *)
+    groups: tuple[int, ...]  # of each word: the place of its lexicon, then LEARNED groups of words and of stems (these end in *)
     weight: np.ndarray
     bias: float
 
 
-N_GROUPS = 5
-N_EXTRA = 2 * N_GROUPS + 5
-
-
 class Reader:
     """Lexicon hits of whole texts: an Aho-Corasick automaton finds the words, which count where they stand alone, and the stems, which count at the front of a word."""
 
@@ -101,52 +114,86 @@ class Reader:
         total = sum(h.values())
         x[-N_GROUPS:] = np.minimum(100 * x[n : n + N_GROUPS] / (1 + text.count(" ")), 3)
         x[n : n + N_GROUPS] = np.log1p(x[n : n + N_GROUPS])
-        x[n + N_GROUPS : -N_GROUPS] = min(len(h), 5), len(h) >= 2, min(50.0 * total / (1 + text.count(" ")), 3), bool(total and SECOND_PERSON.search(text)), bool(total and SHOUT.search(text))
+        patterns = (bool(total and p.search(text)) for p in (SECOND_PERSON, SHOUT, EXCLAIM))
+        x[n + N_GROUPS : -N_GROUPS] = min(len(h), 5), len(h) >= 2, min(50.0 * total / (1 + text.count(" ")), 3), *patterns
         return x
 
 
 def votes(x: np.ndarray, n: int) -> np.ndarray:
-    """1 toxic, -1 clean, 0 nothing, from features of n words: a voter for each group of the lexicon, for several
-    distinct hits, for dense hits, for each pattern, and for no hit at all. A group votes from 3 hits in 1,000 words on."""
+    """1 toxic, -1 clean, 0 nothing, from features of n words. A voter for each group of words, which votes from 3 hits in
+    1,000 words on; for two and for three distinct hits; for dense and for sparse hits; for no hit; for each pattern."""
     group, distinct, dense = x[:, -N_GROUPS:], x[:, n + N_GROUPS], x[:, n + N_GROUPS + 2]
-    out = [np.where(group[:, g] >= 0.3, 1, 0) for g in range(N_GROUPS)]
-    out += [np.where(distinct >= 2, 1, 0), np.where(distinct == 0, -1, 0), np.where(dense >= 0.5, 1, np.where(dense == 0, -1, 0))]
-    out += [np.where(x[:, n + N_GROUPS + 3] > 0, 1, 0), np.where(x[:, n + N_GROUPS + 4] > 0, 1, 0)]
-    return np.array(out).T
+    toxic = [group[:, g] >= 0.3 for g in range(N_GROUPS)]
+    toxic += [distinct >= 2, distinct >= 3, dense >= 0.3, dense >= 1.0, *(x[:, n + N_GROUPS + 3 + i] > 0 for i in range(3))]
+    clean = [distinct == 0, dense < 0.1]
+    return np.array([np.where(t, 1, 0) for t in toxic] + [np.where(c, -1, 0) for c in clean]).T
+
+
+def _tree(information: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """(voter, its parent or -1), parents first: the spanning forest of the greatest information, of edges above `least`."""
+    k = len(information)
+    out: list[tuple[int, int]] = []
+    best, parent = np.zeros(k), np.full(k, -1)
+    left = set(range(k))
+    while left:
+        j = max(left, key=lambda i: (best[i], -i))
+        left.discard(j)
+        out.append((j, int(parent[j])))
+        nearer = information[j] > np.maximum(best, least)
+        best, parent = np.where(nearer, information[j], best), np.where(nearer, j, parent)
+    return out
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic for each row of votes, each voter's rates (toxic or clean, of the three votes), and its weight.
+@dataclass(frozen=True)
+class Labels:
+    """What the label model has estimated: the posterior of toxic of each row; for clean and toxic the rates of each voter's
+    three votes and the joint rates of each two voters' votes; the voters with their parents, parents first."""
 
-    Expectation maximisation of a mixture of two classes. Voters whose residuals, given the classes, go together
-    are one source: each is weighted by one over the sum of its correlations, estimated anew in every round.
+    posterior: np.ndarray
+    rates: np.ndarray
+    pairs: np.ndarray
+    tree: list[tuple[int, int]]
+
+
+def label_model(v: np.ndarray, prior: float, rounds: int, least: float = 0.01) -> Labels:
+    """Expectation maximisation of two classes, in each of which the votes (-1, 0, 1) are a tree of pairwise tables.
+
+    The tree is that of the greatest mutual information of two votes given the class, estimated anew in every round.
     """
-    k = v.shape[1]
-    # voters that nearly always vote alike are one from the start, or they would become the classes themselves
+    n, k = v.shape
+    onehot = np.stack([v == c for c in (-1, 0, 1)], axis=2).astype("f8")
+    flat = onehot.reshape(n, 3 * k)
+    base = math.log(prior / (1 - prior))
+    # the start: a vote count in which voters that nearly always vote alike share one vote
     c = v - v.mean(axis=0)
     spread = np.maximum(c.std(axis=0), 1e-9)
-    alike = np.abs(c.T @ c / max(1, len(v)) / np.outer(spread, spread)) >= 0.9
+    alike = np.abs(c.T @ c / max(1, n) / np.outer(spread, spread)) >= 0.9
     np.fill_diagonal(alike, True)
-    single = 1 / alike.sum(axis=0)
-    start = np.clip((v * single).sum(axis=1) / 4.0, -1, 1)
-    post = 1 / (1 + np.exp(-(3 * start + math.log(prior / (1 - prior)))))
-    onehot = np.stack([v == c for c in (-1, 0, 1)], axis=2).astype("f8")
-    weight, rates = single, np.zeros((2, k, 3))
+    post = 1 / (1 + np.exp(-np.clip(base + 2.0 * (v / alike.sum(axis=0)).sum(axis=1), -8, 8)))
+    rates = pairs = tree = None
     for _ in range(rounds):
+        pairs, rates = np.empty((2, k, 3, k, 3)), np.empty((2, k, 3))
         for c, q in enumerate((1 - post, post)):
-            rates[c] = (np.tensordot(q, onehot, (0, 0)) + 0.5) / (q.sum() + 1.5)
-        mean = lambda c: rates[c][:, 2] - rates[c][:, 0]
-        res = v - (np.outer(1 - post, mean(0)) + np.outer(post, mean(1)))
-        sd = res.std(axis=0)
-        cor = (res.T @ res / max(1, len(v))) / np.maximum(np.outer(sd, sd), 1e-9)
-        weight = np.minimum(single, 1 / np.maximum(1, np.abs(np.where(np.abs(cor) > 0.2, cor, 0)).sum(axis=0)))
-        ratio = np.log(rates[1]) - np.log(rates[0])
-        z = (np.einsum("nkc,kc->nk", onehot, ratio) * weight).sum(axis=1) + math.log(prior / (1 - prior))
+            pairs[c] = ((flat * q[:, None]).T @ flat).reshape(k, 3, k, 3)
+            pairs[c] = (pairs[c] + 0.1) / (q.sum() + 0.9)
+            rates[c] = (np.tensordot(q, onehot, (0, 0)) + 0.3) / (q.sum() + 0.9)
+        ratio = np.log(pairs) - np.log(rates[:, :, :, None, None]) - np.log(rates[:, None, None, :, :])
+        information = np.einsum("c,cjakb,cjakb->jk", np.array([1 - post.mean(), post.mean()]), pairs, ratio)
+        np.fill_diagonal(information, 0)
+        tree = _tree(information, least)
+        z = np.full(n, base)
+        for j, up in tree:
+            lift = np.log(rates[1, j]) - np.log(rates[0, j])
+            if up < 0:
+                z += onehot[:, j] @ lift
+            else:  # the vote given its parent's
+                given = np.log(pairs[:, up, :, j, :]) - np.log(pairs[:, up, :, j, :].sum(axis=2, keepdims=True))
+                z += np.einsum("na,ab,nb->n", onehot[:, up], given[1] - given[0], onehot[:, j])
         new = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
-    return post, rates, weight
+    return Labels(post, rates, pairs, tree)
 
 
 def _learned(rows: list[tuple[str, int]], have: set[str], s: Settings) -> tuple[list[str], list[str]]:
@@ -170,14 +217,13 @@ def _learned(rows: list[tuple[str, int]], have: set[str], s: Settings) -> tuple[
 
 
 def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Model:
-    """Train on (text, 0 or 1) rows. The labels give the learned words, the prior and, as one more voter that is right
-    nine times in ten, a share of the posterior; without rows, the general lexicon decides alone."""
+    """Train on (text, 0 or 1) rows: learned words from one half and the prior from the labels, all else from the votes on
+    the other half. Without rows, the general lexicons decide alone."""
     rows = [(t, int(bool(y))) for t, y in rows]
-    general = [*((w, 0) for w in NOUNS), *((w, 1) for w in QUALITIES), *((w, 2) for w in FOREIGN)]
-    groups = dict(reversed(general))
-    # words from one half, weights from the other: a word's hits where it was found say too much of it
+    groups = {w: g for g, name in enumerate(GENERAL) for w in LEXICONS[name]}
     new_words, new_stems = _learned(rows[::2], set(groups), s)
-    groups |= dict.fromkeys(new_words, 3) | dict.fromkeys(new_stems, 4)
+    for first, new in ((len(GENERAL), new_words), (len(GENERAL) + LEARNED, new_stems)):
+        groups |= {w: first + i % LEARNED for i, w in enumerate(new) if w not in groups}
     words = tuple(sorted(groups))
     kinds = tuple(groups[w] for w in words)
     n = len(words)
@@ -186,13 +232,9 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Model:
         weight[n : n + N_GROUPS] = 3.0
         return Model(words, kinds, weight, -2.0)
     reader = Reader(words, kinds)
-    rows = rows[1::2] or rows
-    x = np.array([reader.features(t) for t, _ in rows])
-    y = np.array([v for _, v in rows], "f8")
-    prior = float(np.clip(y.mean(), 0.01, 0.5))
-    post, _, _ = label_model(votes(x, n), prior, s.rounds)
-    z = np.log(np.clip(post, 1e-6, 1 - 1e-6) / np.clip(1 - post, 1e-6, 1)) + np.where(y == 1, 1, -1) * math.log(9)
-    target = 1 / (1 + np.exp(-z))
+    prior = float(np.clip(np.mean([y for _, y in rows]), 0.01, 0.5))
+    x = np.array([reader.features(t) for t, _ in (rows[1::2] or rows)])
+    target = label_model(votes(x, n), prior, s.rounds).posterior
     # full-batch logistic regression on the posterior, by accelerated gradient steps
     w, b, mw, mb = np.zeros(x.shape[1]), math.log(prior / (1 - prior)), 0.0, 0.0
     scale = 1 / (np.linalg.norm(x, 2) ** 2 / len(x) / 4 + s.l2 + 0.25)
@@ -226,4 +268,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Fit on labels.toxic outside the held-out fold, then score all documents."""
-    return score(docs, fit(labelled_sample(docs, labels, "toxic", settings.sample), settings))
+    return score(docs, fit(labelled_sample(docs, labels, "toxic", settings.sample, settings.longest), settings))
