@@ -23,9 +23,11 @@ from .common import arrow_pass, batch, fold_of, labelled_sample
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample`: the most labelled rows that the fit uses; everything else covers all rows."""
+    """`sample`: the most labelled rows that the fit uses, of texts of `longest` bytes at most; everything else covers all
+    rows and whole texts."""
 
     sample: int = 4000
+    longest: int = 32_768
     buckets: int = 1 << 16
     dim: int = 8
     epochs: int = 6
@@ -161,4 +163,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Fit on labels.quality outside the held-out fold, then score all documents."""
-    return score(docs, fit(labelled_sample(docs, labels, "quality", settings.sample), settings))
+    return score(docs, fit(labelled_sample(docs, labels, "quality", settings.sample, settings.longest), settings))
