@@ -47,24 +47,26 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, site_col: str = "source", i
 
     The order of the lines that stay is kept. A document all of whose lines are boilerplate is a copy of a page, not a
     frame around one: it stays as it is, for the near-duplicate stage. Null texts stay null, with 0 lines; empty and
-    blank texts stay; repeated rows are treated alike. The two new columns replace any of the same name.
+    blank texts stay; repeated rows are treated alike, and rows of one id but different texts each by their text; an empty
+    table stays empty. The two new columns replace any of the same name; all others keep their values, whatever their names.
     """
     from .common import hold
 
     bad = hold(boilerplate(docs, min_sites, site_col=site_col, text_col=text_col, **sketch).distinct())
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    each = docs.select(key.alias("_key"), F.explode(F.array_distinct(F.transform(F.split(text_col, "\n", -1), lambda x: F.xxhash64(_trim(x))))).alias("line"))
-    found = each.join(bad, "line").groupBy("_key").agg(F.collect_set("line").alias("_bad"))
-    out = docs.withColumn("_key", key).join(found, "_key", "left")
-    lines = F.split(text_col, "\n", -1)
-    stays = F.filter(lines, lambda x: ~F.array_contains("_bad", F.xxhash64(_trim(x))))
-    full = lambda a: F.size(F.filter(a, lambda x: _trim(x) != ""))
-    out = out.withColumn("_stays", F.when(F.col("_bad").isNull(), lines).otherwise(stays))
-    out = out.withColumn("_n", F.when(F.col(text_col).isNull(), 0).otherwise(full(lines))).withColumn("_m", F.when(F.col(text_col).isNull(), 0).otherwise(full(F.col("_stays"))))
-    gone = (F.col("_m") == 0) | F.col("_bad").isNull()
-    out = out.withColumn("n_lines", F.col("_n").cast("long")).withColumn("n_removed", F.when(gone, 0).otherwise(F.col("_n") - F.col("_m")).cast("long"))
-    out = out.withColumn(text_col, F.when(gone, F.col(text_col)).otherwise(F.array_join("_stays", "\n")))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    own = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)
+    rows = docs.select(own.alias("row"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"))
+    lines = F.split("text", "\n", -1)
+    each = rows.select("key", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(_trim(x))))).alias("line"))
+    found = each.join(bad, "line").groupBy("key").agg(F.collect_set("line").alias("bad"))
+    out = rows.join(found, "key", "left").withColumn("stays", F.when(F.col("bad").isNotNull(), F.filter(lines, lambda x: ~F.array_contains("bad", F.xxhash64(_trim(x))))))
+    full = lambda a: F.coalesce(F.size(F.filter(a, lambda x: _trim(x) != "")), F.lit(0)).cast("long")
+    out = out.withColumns({"n": F.when(F.col("text").isNull(), 0).otherwise(full(lines)), "m": F.when(F.col("stays").isNotNull(), full(F.col("stays")))})
+    cut = F.col("m") > 0
+    text = F.when(cut, F.array_join("stays", "\n")).otherwise(F.col("text"))
+    given = {text_col: text, "n_lines": F.col("n").cast("long"), "n_removed": F.when(cut, F.col("n") - F.col("m")).otherwise(0).cast("long")}
+    names = [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
+    return out.select(*((given[c] if c in given else F.col("row")[c]).alias(c) for c in names))
 
 
 def oracle(min_sites: int = 10, table: str = "documents", columns: str = "doc_id, n_lines, n_removed, length(coalesce(kept, '')) AS n_chars, md5(kept) AS text_md5") -> str:
