@@ -13,6 +13,7 @@ root; ascending doc_id) and `manifest`.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from pyspark.taskcontext import TaskContext
 from .common import arrow_pass, batch, shared_dir
 
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 511
+LOT = 10_000
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 
@@ -45,7 +47,9 @@ class Encoder:
     Pieces begin at a space or line feed. Where that stands alone between other characters, the library's own
     pre-tokenizer cuts before it as well, so that the ids of the pieces in a row are the ids of the text. Arrow splits
     the texts and numbers their distinct pieces; the library sees each piece once, as long as it is among the `most`
-    pieces that are kept. Texts with other white space around a space or line feed, or at their ends, go to it in whole.
+    pieces that are kept. Texts with other white space around a space or line feed, or at their ends, go to it in whole; so
+    do all texts if the tokenizer isn't byte-level, or changes texts before it cuts them. Ids that don't fit into `width`
+    bytes raise an error.
     """
 
     #: So many new pieces make one text for the library; its time for each grows with the text.
@@ -60,6 +64,12 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.width, self.kind, self.most = width, f"<u{width}", most
+        if self.tok.get_vocab_size() > 1 << 8 * width:
+            raise ValueError(f"ids of {self.tok.get_vocab_size()} pieces don't fit into {width} bytes")
+        form = json.loads(self.tok.to_str())
+        cutter = form.get("pre_tokenizer") or {}
+        #: Whether texts may be cut at spaces: the library cuts there itself and changes nothing before or behind it.
+        self.pieces = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and not form.get("normalizer") and not form.get("truncation")
         self.size_of = np.ones(self.tok.get_vocab_size(), "i8")  # byte-level pieces spell a byte by one character
         for piece, i in self.tok.get_vocab().items():
             self.size_of[i] = len(piece)
@@ -96,7 +106,10 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
         out = [b""] * len(texts)
-        odd = pc.fill_null(pc.match_substring_regex(pa.array(texts, pa.large_string()), self.ODD), False).to_numpy(zero_copy_only=False)
+        if self.pieces:
+            odd = pc.fill_null(pc.match_substring_regex(pa.array(texts, pa.large_string()), self.ODD), False).to_numpy(zero_copy_only=False)
+        else:
+            odd = np.array([bool(t) for t in texts], bool)
         whole = np.flatnonzero(odd).tolist()
         for i, ids in zip(whole, self.alone([texts[i] for i in whole]), strict=True):
             out[i] = ids.tobytes()
@@ -213,8 +226,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     kind = f"<u{width}"
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, zc, seen, row = Encoder(tokenizer, width), zstandard.ZstdCompressor(level=1), set(), 0
-        part = TaskContext.get().partitionId()
+        enc, zc, seen = Encoder(tokenizer, width), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], kind).tobytes()
         for b in it:
             for k in range(0, b.num_rows, 3000):
@@ -232,16 +244,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                                 seen.add(name)
                             for c, v in zip(cols, ("chunk", name, zc.compress(piece), None, None, None), strict=True):
                                 c.append(v)
-                    row += 1
-                    for c, v in zip(cols, ("recipe", part.to_bytes(4, "big") + row.to_bytes(8, "big"), None, i, len(ids), names), strict=True):
+                    key = hashlib.sha256(b"".join([b"-" if i is None else i.to_bytes(8, "big", signed=True), *names])).digest()
+                    for c, v in zip(cols, ("recipe", key, None, i, len(ids), names), strict=True):
                         c.append(v)
                 yield batch(kind=pa.array(cols[0], pa.string()), key=pa.array(cols[1], pa.binary()), data=pa.array(cols[2], pa.binary()), doc_id=pa.array(cols[3], pa.int64()), n_tokens=pa.array(cols[4], pa.int64()), names=pa.array(cols[5], pa.list_(pa.binary())))
 
     rows = arrow_pass(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), encode, "kind string, key binary, data binary, doc_id long, n_tokens long, names array<binary>")
-    first = rows.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("data", "doc_id", "n_tokens", "names")))
+    # a document's key is its id and content, so that a repeated task writes the same rows; equal documents are counted
+    first = rows.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("data", "doc_id", "n_tokens", "names")), F.count("*").alias("copies"))
     first.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     spark = docs.sparkSession
-    recipes = spark.read.schema("key binary, data binary, doc_id long, n_tokens long, names array<binary>, kind string").parquet(f"{path}/objects").where("kind = 'recipe'")
+    recipes = spark.read.schema("key binary, data binary, doc_id long, n_tokens long, names array<binary>, copies long, kind string").parquet(f"{path}/objects").where("kind = 'recipe'")
+    # a row for each copy, in two steps of at most LOT rows from one
+    recipes = recipes.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / LOT))))
+    recipes = recipes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(LOT), F.col("copies") - F.col("lot") * LOT))))
     recipes = recipes.select("doc_id", "n_tokens", "names", F.xxhash64("names").alias("tie"))
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
