@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pytest
 import zstandard
 
 from textloom.llm import decontaminate, html_extraction, jaccard_join, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_store, toxicity, url_filters
-from textloom.llm.common import components
+from textloom.llm.common import components, labelled_sample, portions, shared_dir
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and house tree river stone cloud paper water light green blue walk speak under over after before".split()
@@ -85,10 +86,104 @@ def test_jaccard_odd_rows(spark):
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (None, 3)]
-    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long"), []).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+def test_shingles_of_many_texts():
+    rng = random.Random(29)
+    texts = [*odd_texts(), *odd_strings(7, 300, 25), "x" * 700, "x" * 256 + "y" + "z" * 255, "x" * 512 + "y", " " * 5, "\x0b\x0c", "A\x85b\u2003c d"]
+    for width in (1, 2, 3, 5):
+        sets = list(jaccard_join.shingle_sets(pa.array(texts, pa.string()), width))
+        names, of = {}, []
+        for t, s in zip(texts, sets, strict=True):
+            w = (t or "").encode().lower().split()
+            plain = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+            assert len(s) == len(plain) and (np.diff(s) > 0).all()
+            of.append(plain)
+            for x in plain:
+                names.setdefault(x, len(names))
+        assert len({int(x) for s in sets for x in s}) == len(names)
+        for i, j in itertools.islice(itertools.combinations(range(len(texts)), 2), 0, None, 37):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(of[i] & of[j])
+        assert all(np.array_equal(jaccard_join.shingles(t, width), s) for t, s in zip(texts[:40], sets, strict=False))
+
+
+def test_wide_signatures_bound_the_difference():
+    rng = random.Random(31)
+    for _ in range(300):
+        a = {rng.getrandbits(64) for _ in range(rng.randint(1, 900))}
+        b = {x for x in a if rng.random() < 0.8} | {rng.getrandbits(64) for _ in range(rng.randint(0, 300))}
+        one, two = (jaccard_join.wide_signature(np.sort(np.array(list(x), "u8"))) for x in (a, b or a))
+        assert jaccard_join.differing(one, two) == jaccard_join.differing(two, one) <= len(a ^ (b or a))
+    far = [jaccard_join.wide_signature(np.sort(np.array([rng.getrandbits(64) for _ in range(4000)], "u8"))) for _ in range(2)]
+    assert jaccard_join.differing(*far) > 1500
+
+
+def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "set_hash", narrow_hash)
+    rng = random.Random(33)
+    texts = [prose(rng, 30) for _ in range(40)]
+    texts += [t + " more" for t in texts[:20]] + texts[:10]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(documents(spark, texts).repartition(3), 2, 80).collect()}
+    assert got == brute_classes(texts, 2, 80)
+
+
+def narrow_hash(s):
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(s.tobytes())
+    return h % 8, h >> 2
+
+
+def test_jaccard_with_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(35)
+    a, b = prose(rng, 40), prose(rng, 40)
+    rows = [(2, a), (2, b), (1, a), (5, a + " x"), (5, b), (None, a), (None, None), (7, None), (7, ""), (2, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as n", "3 as tok", "4 as comp", "5 as hash")
+    got = sorted(((r["doc_id"], r["component_id"], r["stays"]) for r in jaccard_join.jaccard_classes(df).collect()), key=str)
+    assert got == sorted([(2, 1, False), (2, 2, True), (1, 1, True), (5, 1, False), (5, 2, False), (None, 1, False), (None, None, True), (7, 7, True), (7, 7, True), (2, 2, True)], key=str)
+    assert jaccard_join.jaccard_classes(df.limit(0)).count() == 0
+
+
+def test_held_tables_are_deleted(spark, tmp_path):
+    import os
+
+    before = set(os.listdir(shared_path(spark)))
+    docs = documents(spark, odd_texts())
+    jaccard_join.jaccard_classes(docs).count()
+    assert len(set(os.listdir(shared_path(spark))) - before) == 1
+
+
+def shared_path(spark):
+    return shared_dir(spark).removeprefix("file:").replace("///", "/")
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session())
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(700)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in components(edges, []).collect()}
+    assert got == {**dict.fromkeys(range(701), 0), 1000: 1000, 1001: 1000}
+
+
 # ---- 2
 
 
@@ -146,7 +241,7 @@ def test_scores_of_a_unigram_model_against_a_plain_search():
 
 def test_portions_bound_rows_and_bytes():
     b = pa.RecordBatch.from_pydict({"i": list(range(7)), "t": ["x" * 10, None, "y" * 25, "z", "", "w" * 8, "v" * 30]})
-    parts = list(sentencepiece_codec.portions(iter([b, b.slice(0, 0)]), rows=3, size=20))
+    parts = list(portions(iter([b, b.slice(0, 0)]), 1, rows=3, size=20))
     assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5], [6], []]
 
 
@@ -382,6 +477,18 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    rows = [(i, f"own {i}\nframe", f"s{i}") for i in range(12)] + [(3, "frame\nother text of an id that repeats", "s3"), (None, "frame\nx", None), (50, "\n".join(["frame"] + [f"line {k}" for k in range(30_000)]), "s1"), (51, "frame\n" + "w" * 2_000_000, "s2")]
+    names = ["_n", "_key", "_bad", "_m", "_stays", "row", "key", "bad", "line", "n", "m", "stays", "raw", "sketch", "a.b"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *(f"'mine' as `{c}`" for c in names))
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    got = out.collect()
+    assert len(got) == len(rows) and all(r[c] == "mine" for r in got for c in names)
+    want = {(i, t.removeprefix("frame\n").removesuffix("\nframe")) for i, t, _ in rows}
+    assert {(r["doc_id"], r["text"]) for r in got} == want and all(r["n_removed"] == 1 for r in got)
+
+
 # ---- 6
 
 
@@ -509,13 +616,112 @@ def test_toxicity(spark):
 def test_label_model_finds_accurate_voters():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
-    good = np.where(rng.random(4000) < 0.95, np.where(y, 1, -1), np.where(y, -1, 1))
-    fair = np.where(rng.random(4000) < 0.8, np.where(y, 1, -1), np.where(y, -1, 1))
-    coin = np.where(rng.random(4000) < 0.5, 1, -1)
-    post, rates, weight = toxicity.label_model(np.array([good, fair, coin, coin]).T, 0.3, 60)
-    assert ((post > 0.5) == y).mean() > 0.9
-    assert rates[1][0, 2] > 0.7 and rates[1][1, 2] > 0.7 and abs(rates[1][2, 2] - 0.5) < 0.1
-    assert weight[2] < 0.7 and weight[0] > 0.7
+
+    def voter(right):
+        return np.where(rng.random(4000) < right, np.where(y, 1, -1), np.where(y, -1, 1))
+
+    good, fair, weak, coin = voter(0.95), voter(0.85), voter(0.75), np.where(rng.random(4000) < 0.5, 1, -1)
+    v = np.array([good, fair, coin, coin, coin, weak]).T
+    found = toxicity.label_model(v, 0.3, 60)
+    # what Bayes' rule gives with the rates that made the votes, copies counted once
+    z = sum(np.log(r / (1 - r)) * c for r, c in ((0.95, good), (0.85, fair), (0.75, weak))) + np.log(0.3 / 0.7)
+    assert ((found.posterior > 0.5) == (z > 0)).mean() > 0.97
+    assert found.rates[1, 0, 2] > 0.82 and found.rates[1, 1, 2] > 0.75 and abs(found.rates[1, 2, 2] - 0.5) < 0.1
+    up = dict(found.tree)
+    assert sum({j, up[j]} <= {2, 3, 4} for j in (2, 3, 4) if up[j] >= 0) == 2  # the copies hang on each other
+
+
+def test_posterior_against_the_joint_tables():
+    """The posterior of each row by multiplying the estimated tables along the tree, vote by vote."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-1, 2, (300, 4))
+    v[:, 1] = np.where(rng.random(300) < 0.8, v[:, 0], v[:, 1])
+    found = toxicity.label_model(v, 0.4, 400, least=0.0)
+    for row, p in zip(v[:40], found.posterior[:40], strict=True):
+        mass = []
+        for c, prior in ((0, 0.6), (1, 0.4)):
+            m = prior
+            for j, up in found.tree:
+                a = row[j] + 1
+                m *= found.rates[c, j, a] if up < 0 else found.pairs[c, up, row[up] + 1, j, a] / found.pairs[c, up, row[up] + 1, j].sum()
+            mass.append(m)
+        assert abs(mass[1] / sum(mass) - p) < 5e-3
+
+
+def plain_hits(text, words):
+    """Of each word how often it stands alone, of each stem how often a word begins with it."""
+    found = {}
+    for w in re.findall(r"\w+", text.lower()):
+        for k in words:
+            if w == k or (k.endswith("*") and w.startswith(k[:-1])):
+                found[k] = found.get(k, 0) + 1
+    return found
+
+
+def test_toxicity_hits_against_a_plain_search():
+    rng = random.Random(41)
+    words = ("idiot", "idiots", "lose*", "crétin", "mor*", "moron")
+    reader = toxicity.Reader(words, (0, 0, 9, 6, 9, 0))
+    for _ in range(300):
+        t = "".join(rng.choice(["idiot", "idiots", "Loser", "crétin", "MORON", "mor", "x", " ", "-", "_", ", ", "é", "1", "\n"]) for _ in range(rng.randint(0, 30)))
+        assert {words[i]: n for i, n in reader.hits(t).items()} == plain_hits(t, words)
+
+
+def test_toxicity_on_odd_rows(spark):
+    rng = random.Random(43)
+    bad = "you are a pathetic worthless idiot and a stupid clown"
+    rows = [(i, f"{prose(rng, 40)} {bad}" if i % 5 == 0 else prose(rng, 40)) for i in range(200)]
+    rows += [(3, "repeated id, other text"), (3, prose(rng, 10)), (None, bad), (900, prose(rng, 200_000)), (901, prose(rng, 100_000) + f" {bad}" * 20_000), (902, bad), (902, bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "2 as held_out", "3 as _t", "4 as _id", "5 as _y")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)] + [(900, 1, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(df, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], []).append(r["predicted"])
+    assert by_id[902] == [1, 1] and by_id[901] == [1] and by_id[900] == [0] and by_id[None] == [1] and by_id[3] == [0, 0, 0]
+    quality = quality_classifier.quality_classifier(df, labels, quality_classifier.Settings(sample=50, epochs=1)).collect()
+    assert len(quality) == len(rows) and len({r["score"] for r in quality if r["doc_id"] == 902}) == 1
+
+
+def test_labelled_sample_is_bounded_and_fixed(spark):
+    rows = [(i, f"text {i}") for i in range(100)] + [(1, "b"), (1, "a"), (2, None), (101, "x" * 100), (None, "y")]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(102)] + [(7, 0, 1), (7, 0, 0), (None, 1, 1), (8, 0, None)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = labelled_sample(docs, labels, "toxic", 1000, 50)
+    assert got == labelled_sample(docs.repartition(5), labels.repartition(3), "toxic", 1000, 50)
+    assert {t for t, _ in got} == {("a" if i == 1 else f"text {i}") for i in range(100) if zlib.crc32(str(i).encode()) % 5}
+    assert len(labelled_sample(docs, labels, "toxic", 10, 50)) <= 10
+
+
+def naive_score(model, text):
+    """The mean over all features of a text, one by one."""
+    s = model.settings
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    firsts, total, n = [], 0.0, 0
+    for w in words:
+        mark = b"<" + w + b">"
+        ids = [zlib.crc32(w)] + [zlib.crc32(mark[i : i + k]) for k in s.grams for i in range(len(mark) - k + 1)]
+        raw = [zlib.crc32(w) % s.buckets] + [zlib.crc32(mark[i : i + k], k) % s.buckets for k in s.grams for i in range(len(mark) - k + 1)]
+        assert len(ids) == len(raw)
+        firsts.append(raw[0])
+        total += sum(float(model.weight[i]) for i in raw)
+        n += len(raw)
+    for a, b in zip(firsts, firsts[1:], strict=False):
+        i = 1 if a == b else (((a * 0x9E3779B1 + b * 0x85EBCA77) & 0xFFFFFFFFFFFFFFFF) >> 7) % s.buckets
+        total += float(model.weight[i])
+        n += 1
+    z = (total / n if n else 0.0) + model.bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_against_a_plain_mean():
+    rng = random.Random(45)
+    rows = [(prose(rng, 30), 1) if i % 2 else (" ".join(w + "%%" for w in prose(rng, 30).split()), 0) for i in range(60)]
+    model = quality_classifier.fit(rows, quality_classifier.Settings(epochs=2))
+    scorer = quality_classifier.Scorer(model)
+    for t in [*(t for t, _ in rows[:20]), *odd_texts(), "a a a a", "x" * 500 + " y", "é漢 😀"]:
+        assert abs(scorer.score(t) - naive_score(model, t)) < 1e-5
 
 
 # ---- 8
@@ -524,6 +730,7 @@ def test_label_model_finds_accurate_voters():
 def brute_hits(texts, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = {}
+    df = Counter(x for t in texts.values() for x in cut(t))
     for d, t in texts.items():
         w, hit, ids = cut(t), set(), set()
         for i, x in items:
@@ -535,10 +742,20 @@ def brute_hits(texts, items):
                         hit.update(range(p, p + k))
                         ids.add(str(i))
         joined = ",".join(sorted(ids))
-        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(joined.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        near = {str(i) for i, x in items if i is not None and is_near(w, rare_words(cut(x), df))}
+        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(joined.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), len(near))
     return out
 
 
+def rare_words(words, df):
+    return sorted(set(words), key=lambda x: (df[x], x.encode()))[:3]
+
+
+def is_near(words, rare, slop=20):
+    places = [[p for p, x in enumerate(words) if x == r] for r in rare]
+    return bool(rare) and any(all(any(abs(q - p) <= slop for q in other) for other in places[1:]) for p in places[0])
+
+
 def test_decontaminate(spark):
     rng = random.Random(10)
     items = [(i, prose(rng, rng.choice([3, 13, 14, 20, 40]))) for i in range(12)] + [(12, None), (13, ""), (14, "--"), (15, "the the the the the"), (0, "other words here now")]
@@ -561,11 +778,35 @@ def test_decontaminate(spark):
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 40 + "beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
+def test_clean_documents_keep_clashing_columns(spark):
+    rng = random.Random(51)
+    item = prose(rng, 20)
+    rows = [(1, item), (1, prose(rng, 30)), (None, item), (2, None), (3, ""), (4, prose(rng, 200_000)), (5, prose(rng, 100_000) + " " + item), (6, f"{item} {item}"), (6, f"{item} {item}")]
+    names = ["_bad", "key", "row", "item", "pos", "words", "spans", "ids", "id", "w", "term"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *(f"'mine' as {c}" for c in names))
+    bench = spark.createDataFrame([(1, item), (1, None), (None, item)], "item_id long, text string")
+    out = decontaminate.clean_documents(df, bench)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert all(r[c] == "mine" for r in got for c in names)
+    assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in got) == sorted((str(i), len(t or "")) for i, t in rows if (i, t) in {(1, rows[1][1]), (2, None), (3, ""), (4, rows[5][1]), (5, rows[6][1])})
+
+
+def test_searches_share_a_stored_index(spark, tmp_path):
+    texts = [(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 40 + "beta gamma"), (3, "gamma beta alpha"), (4, "x alpha beta gamma x"), (5, None), (4, "x alpha beta gamma x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
     items = decontaminate.bench_items(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
     keys = {r["k"]: r["doc_id"] for r in docs.select("doc_id", decontaminate.document_key("doc_id", "text").alias("k")).collect()}
-    assert {keys[r["key"]] for r in decontaminate.proximity_matches(docs, items, slop=10).collect()} == {1, 3}
+    counts = decontaminate.term_counts(docs, items.selectExpr("explode(words) as term").distinct())
+    win, rare = decontaminate.windows(items, counts), decontaminate.rare_words(items, counts)
+    terms = decontaminate.anchors_of(win).select("term").unionByName(rare.select("term")).distinct()
+    few = decontaminate.build_index(docs, terms, path=f"file://{tmp_path}/few")
+    many = decontaminate.build_index(docs, terms, path=f"file://{tmp_path}/many", most_rows=0)
+    everything = decontaminate.build_index(docs, path=f"file://{tmp_path}/all")
+    assert {tuple(map(str, r)) for r in few.collect()} == {tuple(map(str, r)) for r in many.collect()} <= {tuple(map(str, r)) for r in everything.collect()}
+    for index in (few, many, everything, spark.read.parquet(f"file://{tmp_path}/few")):
+        assert {keys[r["key"]] for r in decontaminate.proximity_matches(index, rare, slop=10).collect()} == {1, 3, 4}
+        assert {(keys[r["key"]], r["first"], r["last"]) for r in decontaminate.phrase_matches(index, win).collect()} == {(4, 1, 3)}
 
 
 # ---- 10
@@ -590,6 +831,35 @@ def test_token_store(spark, tmp_path):
     assert sorted((r["start"], r["n_tokens"]) for r in token_store.token_store(twice, f"file://{tmp_path}/twice").collect()) == [(0, 2), (2, 2), (4, 2)]
 
 
+def test_repeated_documents_are_repeated(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "LOT", 7)
+    rows = [(1, "same text")] * 23 + [(1, "other"), (-5, None), (-5, ""), (None, "x"), (None, "x")] + [(2, "z")] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = f"file://{tmp_path}/store"
+    got = sorted(tuple(r) for r in token_store.token_store(docs, path).select("start", "doc_id", "n_tokens").collect())
+    assert [i for _, i, _ in got] == [None, None, -5, -5, *[1] * 24, *[2] * 7]
+    assert [s for s, _, _ in got] == [sum(n for *_, n in got[:k]) for k in range(len(got))]
+
+
+def test_tokenizers_that_cut_otherwise(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Plain words and more", "a  b\n c", " x", "", None, "The OLD house, 12 rooms"]
+    word = public_tokenizers.path("word_bpe_49k.json")
+    form = json.load(open(token_store.default_tokenizer()))
+    form["pre_tokenizer"]["add_prefix_space"] = True
+    spaced = tmp_path / "spaced.json"
+    spaced.write_text(json.dumps(form))
+    for path in (word, str(spaced), token_store.default_tokenizer()):
+        tok, enc = Tokenizer.from_file(path), token_store.Encoder(path)
+        assert [np.frombuffer(b, "<u2").tolist() for b in enc.batch(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError, match="fit"):
+        token_store.Encoder(word, width=1)
+
+
 def test_chunks_are_stored_once(spark, tmp_path):
     rng = random.Random(11)
     text = prose(rng, 5000)
