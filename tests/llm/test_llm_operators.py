@@ -406,6 +406,7 @@ TEMPLATES = {
     "header": lambda t, ps, x: f"<header><a>Site</a></header><article><div class='post-header'><h1>{t}</h1></div>{ps}<p class='search-related'>{x[3]}</p></article><footer>{x[1]}</footer>",
     "notice": lambda t, ps, x: f"<div class=c9><p>We use small files on this site.</p></div><div class=txt><h1>{t}</h1>{ps}<div class=box>Read our terms</div></div><ul class=zz><li><a>{x[0]}</a><li><a>{x[1]}</a></ul>",
     "comments": lambda t, ps, x: f"<div class=page><h2>{t}</h2><div>{ps}</div><div class='user-comments'><p>{x[0]}</p><p>{x[1]}</p></div></div><form><p>{x[2]}</p></form>",
+    "names": lambda t, ps, x: f"<main><h1>{t}</h1>{ps}<p class='notice'>{x[0]}</p><section id='reader-comments'><article><p>{x[1]}</p></article></section><ol class=commentlist><li>{x[2]}</ol></main><div role=complementary>{x[3]}</div>",
     "plain": lambda t, ps, x: f"<table><tr><td><a>{x[0]}</a></td><td><h1>{t}</h1>{ps}</td></tr></table><aside>{x[1]}</aside>",
 }
 KEEPS_RELATED = {"header"}

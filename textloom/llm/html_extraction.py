@@ -51,9 +51,9 @@ LEAVES = frozenset("p li td th dd dt blockquote pre figcaption caption".split())
 #: Elements that are no part of an article by their meaning in HTML; a <header> inside an article is.
 APART = frozenset("nav footer aside button dialog menu".split())
 #: Words of class, id or role. The first kind names parts that go wherever they are small, the second kind containers.
-PLAIN_NAMES = frozenset("ad ads adv advert advertisement advertising adsbygoogle breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr nav navbar navigation newsletter paywall promo promoted promotion sidebar sponsor sponsored".split())
+PLAIN_NAMES = frozenset("ad ads adv advert advertisement advertising adsbygoogle breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr nav navbar navigation newsletter paywall promo promoted promotion sidebar sidenav sponsor sponsored subnav topnav".split())
 NAMES = frozenset("banner complementary contentinfo alert header hidden login masthead menu modal notice notices overlay pager pagination popup related search share sharing signup skip social subscribe subscription toolbar tooltip widget widgets".split())
-COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+COMMENTS = frozenset("comment commentform commentlist comments disqus replies reply respond".split())
 HEADERS = frozenset("header masthead banner".split())
 ALL_NAMES = PLAIN_NAMES | NAMES | COMMENTS
 #: From so many different pages on, text that is the same on all of them is template.
@@ -476,8 +476,8 @@ class _Judge:
             return False
         if not names.isdisjoint(COMMENTS) or not names.isdisjoint(PLAIN_NAMES):
             return True
-        if tag in LEAVES:  # one of NAMES alone
-            return 2 * self.links[i] > self.text[i]
+        if tag in LEAVES:  # one of NAMES among other words says little
+            return len(names) == 1 or 2 * self.links[i] > self.text[i]
         return not (names.isdisjoint(NAMES - HEADERS) and self.title[i] and 2 * self.links[i] <= self.text[i])
 
     def free(self, top: int) -> tuple[list[int], dict[int, int]]:
