@@ -34,6 +34,8 @@ from .common import arrow_pass, batch, components, drop, hold, portions
 
 SLOTS = 1 << 20
 SLICES = 32
+#: Texts are cut into shingles so many, or so many bytes, at a time.
+ROWS, BYTES = 1000, 6 << 20
 #: Bits of the filter that picks the texts to verify: 16 for each wanted text, and a power of two between these.
 FILTER_BITS = (1 << 16, 1 << 30)
 
@@ -117,7 +119,7 @@ def _scan(docs: DataFrame, text_col: str, width: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SLOTS, "u4")
-        for b in portions(it, 0):
+        for b in portions(it, 0, ROWS, BYTES):
             found = np.concatenate([np.empty(0, "u8"), *shingle_sets(b.column(0), width)])
             sketch += np.bincount(_slots(found), minlength=SLOTS).astype("u4")
         parts = sketch.reshape(SLICES, -1)
@@ -182,18 +184,19 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = shared.value, set()
-        for b in portions(it, 2):
+        for b in portions(it, 2, ROWS, BYTES):
             names, n, prefix, sig = [], [], [], []
             for s in shingle_sets(b.column(2), width):
                 k = len(s)
                 n.append(k)
                 names.append(h := set_hash(s) if k else (None, None))
-                if not k or h in seen:
+                whole = h[0] << 64 ^ h[1] if k else 0
+                if not k or whole in seen:
                     prefix.append(None)
                     sig.append((None,) * 5)
                     continue
-                if len(seen) < 300_000:
-                    seen.add(h)
+                if len(seen) < 200_000:
+                    seen.add(whole)
                 take = k - -(-percent * k // 100) + 1
                 prefix.append(s[np.argsort(count[_slots(s)], kind="stable")[:take]].view("i8"))
                 sig.append((*signature(s).tolist(), wide_signature(s)))
@@ -244,7 +247,7 @@ def _with_texts(docs: DataFrame, text_col: str, hashes: DataFrame, wanted: int)
             for i in np.flatnonzero(wanted).tolist():
                 if (h := names[i].as_py()) in seen:
                     wanted[i] = False
-                elif len(seen) < 300_000:
+                elif len(seen) < 100_000:
                     seen.add(h)
             yield b.select([1, 2]).filter(pa.array(wanted))
 
@@ -275,7 +278,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     both = pairs.join(texts.toDF("ha", "ta"), "ha").join(texts.toDF("hb", "tb"), "hb").select("a", "b", "ta", "tb")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in portions(portions(it, 2), 3):
+        for some in portions(portions(it, 2, ROWS, BYTES), 3, ROWS, BYTES):
             a, b = some.column(0).to_pylist(), some.column(1).to_pylist()
             # each class is cut once, at the place where it comes first
             first = {x: (2, i) for i, x in reversed(list(enumerate(a)))}
