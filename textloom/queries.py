@@ -537,6 +537,76 @@ def readability_turkish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls(analyze(documents(spark, sf_dir), "tr", ["readability"], warn=False), "doc_id", *keys)
 
 
+# how an English unit is read, in SQL, its syllables being those of the vowel-group rule
+
+
+def _spoken(words: str) -> int:
+    return sum(map(syllables.heuristic_en, words.split()))
+
+
+_EN_ONES = [0, *(_spoken(w) for w in readings.EN_ONES[1:])]
+_EN_TENS = [0, 0, *(_spoken(w) for w in readings.EN_TENS)]
+
+
+def _below_hundred_sql(n: str) -> str:
+    return f"CASE WHEN {n} < 20 THEN {_EN_ONES}[{n} + 1] ELSE {_EN_TENS}[{n} // 10 + 1] + {_EN_ONES}[{n} % 10 + 1] END"
+
+
+def _single_en_sql(d: str) -> str:
+    return " + ".join(f"{_spoken(w)} * (length({d}) - length(replace({d}, '{i}', '')))" for i, w in enumerate(readings.EN_ONES[:10]))
+
+
+def _digits_en_sql(d: str) -> str:
+    padded = f"lpad({d}, 15, '0')"
+    group = lambda j: f"substr({padded}, {3 * j + 1}, 3)"
+    hundreds = lambda j: f"CASE WHEN substr({group(j)}, 1, 1) = '0' THEN 0 ELSE {_EN_ONES}[substr({group(j)}, 1, 1)::INT + 1] + {_spoken('hundred')} END"
+    under = lambda j: f"{hundreds(j)} + {_below_hundred_sql(f'(substr({group(j)}, 2, 2)::INT)')}"
+    named = " + ".join(f"CASE WHEN {group(j)} = '000' THEN 0 ELSE {under(j)} + {_spoken(name)} END" for j, name in enumerate(("trillion", "billion", "million", "thousand")))
+    return f"(CASE WHEN starts_with({d}, '0') THEN {_single_en_sql(d)} WHEN length({d}) <= 15 THEN {named} + {under(4)} END)"
+
+
+def _token_en_sql(x: str) -> str:
+    whole, part = f"replace(split_part({x}, '.', 1), ',', '')", f"split_part({x}, '.', 2)"
+    century, rest = f"(substr({x}, 1, 2)::INT)", f"(substr({x}, 3, 2)::INT)"
+    year = f"CASE WHEN regexp_full_match({x}, '[0-9]{{4}}') THEN CASE WHEN {century} BETWEEN 11 AND 19 OR ({century} = 20 AND {rest} >= 10) THEN {_below_hundred_sql(century)} + CASE WHEN {rest} = 0 THEN {_spoken('hundred')} WHEN {rest} < 10 THEN {_spoken('oh')} ELSE 0 END + {_below_hundred_sql(rest)} END END"
+    number = f"CASE WHEN regexp_full_match({x}, '([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)(\\.[0-9]+)?') THEN {_digits_en_sql(whole)} + CASE WHEN {part} = '' THEN 0 ELSE {_spoken('point')} + {_single_en_sql(part)} END END"
+    bare = f"lower(regexp_replace({x}, '{_APOSTROPHES}', '', 'g'))"
+    groups = f"len(regexp_extract_all({bare}, '[aeiouy]+'))"
+    silent = f"CASE WHEN regexp_matches({bare}, 'e$') AND NOT regexp_matches({bare}, '(le|ee)$') AND {groups} > 1 THEN 1 ELSE 0 END"
+    return f"coalesce({year}, {number}, CASE WHEN regexp_full_match({bare}, '\\p{{L}}+') THEN greatest(1, {groups} - {silent}) END)"
+
+
+def units_en_sql(table: str = "documents", key: str = "doc_id") -> str:
+    """CTEs ending in hs (key, is_word, h): every English unit of a text with its syllables, null if unreadable."""
+    alnum = "'[\\p{L}\\p{N}]'"
+    said = " + ".join(f"{_spoken(v)} * (length(edge) - length(replace(edge, {_Q(k)}, '')))" for k, v in readings.EN_SYMBOLS.items())
+    letters = "regexp_replace(core, '\\P{L}', '', 'g')"
+    initials = f"CASE WHEN regexp_full_match(core, '(\\p{{L}}\\.)+\\p{{L}}?') THEN length({letters}) + 2 * (length({letters}) - length(regexp_replace({letters}, '[wW]', '', 'g'))) END"
+    return f"""uc AS (SELECT {key}, unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS chunk, generate_subscripts(regexp_extract_all(text, '[^ \\t\\r\\n]+'), 1) AS i FROM {table}),
+uf AS (SELECT {key}, i, trim(chunk, {_EDGE}) AS form, regexp_matches(trim(chunk, {_EDGE}), {alnum}) AS is_word FROM uc WHERE regexp_matches(trim(chunk, {_EDGE}), {alnum}) OR regexp_full_match(trim(chunk, {_EDGE}), '[{SYMBOLS}]+')),
+us AS (SELECT *, trim(form, {_Q(SYMBOLS)}) AS core FROM uf),
+ue AS (SELECT *, substr(form, 1, length(form) - length(ltrim(form, {_Q(SYMBOLS)}))) || CASE WHEN core = '' THEN '' ELSE substr(form, length(rtrim(form, {_Q(SYMBOLS)})) + 1) END AS edge FROM us),
+tl AS (SELECT DISTINCT tok FROM (SELECT unnest([form, core]) AS tok FROM ue UNION ALL SELECT unnest(string_split(core, '-')) FROM ue WHERE contains(core, '-'))),
+th AS (SELECT tok, {_token_en_sql('tok')} AS h FROM tl),
+u1 AS (SELECT ue.*, a.h AS h0, c.h AS h1 FROM ue LEFT JOIN th a ON a.tok = form LEFT JOIN th c ON c.tok = core),
+hp AS (SELECT {key}, i, CASE WHEN count(h) = count(*) THEN sum(h) END AS h2 FROM (SELECT {key}, i, unnest(string_split(core, '-')) AS part FROM u1 WHERE h0 IS NULL AND contains(core, '-')) LEFT JOIN th ON tok = part GROUP BY ALL),
+hs AS (SELECT u1.{key}, is_word, coalesce(h0, CASE WHEN core = '' THEN {said} ELSE {said} + coalesce(h1, CASE WHEN contains(core, '-') THEN h2 ELSE {initials} END) END) AS h
+ FROM u1 LEFT JOIN hp ON hp.{key} = u1.{key} AND hp.i = u1.i)"""
+
+
+@query(
+    f"""WITH sd AS (WITH {sentences_sql()} {_count_sql('default')}), sk AS (WITH {sentences_sql(kind='kincaid')} {_count_sql('kincaid')}), {units_en_sql()},
+u AS (SELECT doc_id, count(h) FILTER (WHERE is_word)::DOUBLE AS r, count(*)::DOUBLE AS m, count(h)::DOUBLE AS ra, sum(h)::DOUBLE AS ha, count(*) FILTER (WHERE is_word AND h >= 3)::DOUBLE AS p FROM hs GROUP BY doc_id),
+x AS (SELECT d.doc_id, u.* EXCLUDE (doc_id), coalesce(sd.n, 0)::DOUBLE AS s, coalesce(sk.n, 0)::DOUBLE AS k FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN sd ON sd.doc_id = d.doc_id LEFT JOIN sk ON sk.doc_id = d.doc_id)
+SELECT doc_id, {_r('206.835 - 1.015 * m / k - 84.6 * (ha / ra)', 4, 'ra > 0 AND k > 0')} AS flesch_reading_ease, {_r('0.39 * m / k + 11.8 * (ha / ra) - 15.59', 4, 'ra > 0 AND k > 0')} AS flesch_kincaid_grade,
+ {_r('3.1291 + 1.043 * sqrt(p * 30 / s)', 4, 'r > 0 AND s >= 30')} AS smog, {_r('p / r', 5, 'r > 0')} AS polysyllabic_word_ratio FROM x"""
+)
+def readability_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formulas that need syllables, by the vowel-group rule, which stands in for a dictionary of the caller's."""
+    m = analyze(documents(spark, sf_dir), "en", ["readability"], syllable_fallback=syllables.heuristic_en, warn=False)
+    return nulls(m, "doc_id", *readability.ENGLISH_KEYS)
+
+
 # ---- segments and phrases
 
 
