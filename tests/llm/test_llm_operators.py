@@ -832,6 +832,18 @@ def test_token_store(spark, tmp_path):
     assert sorted((r["start"], r["n_tokens"]) for r in token_store.token_store(twice, f"file://{tmp_path}/twice").collect()) == [(0, 2), (2, 2), (4, 2)]
 
 
+def test_encoder_gives_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(53)
+    parts = ["a", "The", "dogs'", "it's", "don't", "x%%%", ",", ".", "!!", " ", "  ", "\n", "\n\n", "é", "É,", "×,", "漢", "漢,", "😀", "12", "3.5", "\t", "word,", "[a]", "(b)", "\u0301", "ª,", "²,", "_", "__x", "'s", "'ll ", "’s", "ﬁ,", "ǅ.", "Ⅷ,", "\u200b,", "\xa0"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + [None, ""]
+    tok, enc = Tokenizer.from_file(token_store.default_tokenizer()), token_store.Encoder(token_store.default_tokenizer(), most=500)
+    for k in range(0, len(texts), 700):
+        for t, ids in zip(texts[k : k + 700], enc.batch(texts[k : k + 700]), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_repeated_documents_are_repeated(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "LOT", 7)
     rows = [(1, "same text")] * 23 + [(1, "other"), (-5, None), (-5, ""), (None, "x"), (None, "x")] + [(2, "z")] * 7

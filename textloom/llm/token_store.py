@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import arrow_pass, batch, shared_dir
+from .common import arrow_pass, batch, portions, shared_dir
 
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 511
 LOT = 10_000
@@ -45,18 +45,20 @@ class Encoder:
     """Ids of the tokenizers library for whole texts, put together from those of their pieces, many texts at a time.
 
     Pieces begin at a space or line feed. Where that stands alone between other characters, the library's own
-    pre-tokenizer cuts before it as well, so that the ids of the pieces in a row are the ids of the text. Arrow splits
-    the texts and numbers their distinct pieces; the library sees each piece once, as long as it is among the `most`
-    pieces that are kept. Texts with other white space around a space or line feed, or at their ends, go to it in whole; so
-    do all texts if the tokenizer isn't byte-level, or changes texts before it cuts them. Ids that don't fit into `width`
-    bytes raise an error.
+    pre-tokenizer cuts before it as well; and it cuts between a letter or digit and the marks behind it. So the ids of the
+    pieces' cores and marks in a row are the ids of the text. Arrow splits the texts and numbers their distinct parts; the
+    library sees each part once, as long as it is among the `most` that are kept. Texts with other white space around a
+    space or line feed, or at their ends, go to it in whole; so do all texts if the tokenizer isn't byte-level, or changes
+    texts before it cuts them. Ids that don't fit into `width` bytes raise an error.
     """
 
-    #: So many new pieces make one text for the library; its time for each grows with the text.
+    #: So many new parts make one text for the library; its time for each grows with the text.
     JOIN = 16
     ODD = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}](?:[ \n]|\z)|\A[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
+    #: ASCII marks at the end of a piece, behind a letter or digit that every version of Unicode has.
+    MARKS = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}](?P<marks>[!-/:-@\[-`{-~]+)\z"
 
-    def __init__(self, path: str, width: int = 2, most: int = 1_000_000):
+    def __init__(self, path: str, width: int = 2, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -76,7 +78,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """No piece is known: `start` and `length` say where in `ids` each piece of `known` has its ids."""
+        """No part is known: `start` and `length` say where in `ids` each part of `known` has its ids."""
         self.known = pa.array([], pa.large_string())
         self.start, self.length, self.ids = np.empty(0, "i8"), np.empty(0, "i4"), np.empty(0, self.kind)
 
@@ -84,24 +86,62 @@ class Encoder:
         return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: pa.Array) -> None:
-        """Ids of new pieces from the library, JOIN of them as one text, cut by the bytes that each id stands for."""
-        pieces = [p if p[:1] == "\n" else " " + p for p in new.to_pylist()]
-        found = self.alone(["".join(pieces[k : k + self.JOIN]) for k in range(0, len(pieces), self.JOIN)])
-        ids = np.concatenate(found)
-        ends = np.cumsum(self.size_of[ids])
-        feeds = np.fromiter((p[:1] == "\n" for p in pieces), bool, len(pieces))
-        want = np.cumsum(pc.binary_length(new).to_numpy() + ~feeds)
+        """Ids of new parts from the library. JOIN of those that begin with white space make one text, whose ids are cut by
+        the bytes that each stands for; marks are asked for one by one."""
+        fits = pc.match_substring_regex(new, r"\A[ \n]").to_numpy(zero_copy_only=False)
+        joined, single = new.filter(pa.array(fits)), new.filter(pa.array(~fits))
+        found = self.alone(["".join(joined[k : k + self.JOIN].to_pylist()) for k in range(0, len(joined), self.JOIN)])
+        ids = np.concatenate([np.empty(0, self.kind), *found])
+        ends, want = np.cumsum(self.size_of[ids]), np.cumsum(pc.binary_length(joined).to_numpy())
         at = np.searchsorted(ends, want)
-        if at[-1] != len(ids) - 1 or (ends[at] != want).any():  # an id across two pieces: ask for each
-            found = self.alone(pieces)
-            ids, stops = np.concatenate(found), np.cumsum([len(f) for f in found])
+        if len(want) and (at[-1] != len(ids) - 1 or (ends[at] != want).any()):  # an id across two parts: ask for each
+            found = self.alone(joined.to_pylist())
+            ids, lengths = np.concatenate(found), [len(f) for f in found]
         else:
-            stops = at + 1
-        length = np.diff(stops, prepend=0)
-        self.known = pa.concat_arrays([self.known, new])
-        self.start = np.concatenate([self.start, len(self.ids) + stops - length])
+            lengths = np.diff(at + 1, prepend=0)
+        marks = self.alone(single.to_pylist())
+        ids = np.concatenate([ids, *marks])
+        length = np.array([*lengths, *map(len, marks)], "i8")
+        self.known = pa.concat_arrays([self.known, joined, single])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length.astype("i4")])
-        self.ids = np.concatenate([self.ids, ids])
+        self.ids = np.concatenate([self.ids, ids.astype(self.kind)])
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """Where each of some parts is among the known ones; new ones are learned."""
+        coded = parts.dictionary_encode()
+        if len(self.known) > self.most:
+            self._forget()
+        number = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(pc.is_null(number))
+        if len(new):
+            first = len(self.known)
+            self._learn(new)
+            order = pc.index_in(new, value_set=self.known.slice(first)).to_numpy() + first
+            place = pc.fill_null(number, -1).to_numpy().astype("i8")
+            place[place < 0] = order
+        else:
+            place = number.to_numpy().astype("i8")
+        return place[coded.indices.to_numpy()]
+
+    def _cut(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece the numbers of its core and of the marks behind it, -1 without any."""
+        whole = pc.if_else(pc.starts_with(pieces, "\n"), pieces, pc.binary_join_element_wise(pa.scalar(" ", pieces.type), pieces, pa.scalar("", pieces.type)))
+        marks = pc.struct_field(pc.extract_regex(whole, self.MARKS), [0])
+        some = pc.is_valid(marks)
+        size = pc.fill_null(pc.binary_length(marks), 0).to_numpy(zero_copy_only=False).astype("i8")
+        has = some.to_numpy(zero_copy_only=False)
+        # cores are the pieces' bytes less those of the marks
+        offsets = np.frombuffer(whole.buffers()[1], "i8", len(whole) + 1, 8 * whole.offset)
+        begin, end = offsets[:-1], offsets[1:] - size
+        data = np.frombuffer(whole.buffers()[2], "u1")
+        length = end - begin
+        ends = np.cumsum(length)
+        core = pa.LargeStringArray.from_buffers(len(whole), pa.py_buffer(np.concatenate([[0], ends]).astype("i8")), pa.py_buffer(data[np.repeat(begin - ends + length, length) + np.arange(ends[-1])]))
+        number = self._numbers(pa.concat_arrays([core, marks.filter(some).cast(core.type)]))
+        behind = np.full(len(whole), -1)
+        behind[has] = number[len(whole) :]
+        return number[: len(whole)], behind
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
@@ -119,19 +159,18 @@ class Encoder:
         # a line feed in front makes the first word a piece like others; its id is left out again
         split = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in rest.tolist()], pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        if len(self.known) > self.most:
-            self._forget()
-        number = pc.index_in(coded.dictionary, value_set=self.known)
-        new = coded.dictionary.filter(pc.is_null(number))
-        place = pc.fill_null(number, -1).to_numpy(zero_copy_only=False).astype("i8")
-        if len(new):
-            place[place < 0] = np.arange(len(self.known), len(self.known) + len(new))
-            self._learn(new)
-        place = place[coded.indices.to_numpy()]
-        start, length = self.start[place], self.length[place]
+        core, marks = self._cut(coded.dictionary)
+        at = coded.indices.to_numpy()
+        core, marks = core[at], marks[at]
+        two = marks >= 0
+        upto = np.cumsum(1 + two)
+        parts = np.empty(upto[-1], "i8")
+        parts[upto - 1 - two] = core
+        parts[upto[two] - 1] = marks[two]
+        start, length = self.start[parts], self.length[parts]
         ends = np.cumsum(length, dtype="i8")
         ids = self.ids[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
-        last = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        last = np.concatenate([[0], ends])[np.concatenate([[0], upto])[split.offsets.to_numpy()]]
         for i, a, b in zip(rest.tolist(), last[:-1].tolist(), last[1:].tolist(), strict=True):
             out[i] = ids[a + 1 : b].tobytes()
         return out
@@ -228,9 +267,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, zc, seen = Encoder(tokenizer, width), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], kind).tobytes()
-        for b in it:
-            for k in range(0, b.num_rows, 3000):
-                some = b.slice(k, 3000)
+        for some in portions(it, 1, 2000, 6 << 20):
+            if some.num_rows:
                 cols: tuple[list, ...] = ([], [], [], [], [], [])
                 for i, raw in zip(some.column(0).to_pylist(), enc.batch(some.column(1).to_pylist()), strict=True):
                     ids = np.frombuffer(raw + end, kind)
@@ -240,7 +278,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                         names.append(name := hashlib.sha256(piece).digest())
                         last = stop
                         if name not in seen:
-                            if len(seen) < 400_000:
+                            if len(seen) < 200_000:
                                 seen.add(name)
                             for c, v in zip(cols, ("chunk", name, zc.compress(piece), None, None, None), strict=True):
                                 c.append(v)
