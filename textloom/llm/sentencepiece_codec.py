@@ -41,7 +41,7 @@ class Automaton:
     s, the longest first: those of s itself, then along the output links. `step[s]` has the next states by character; those
     over the failure links are added when they are first asked for, up to `most` of them."""
 
-    def __init__(self, ids: dict[str, int], most: int = 2_000_000):
+    def __init__(self, ids: dict[str, int], most: int = 300_000):
         self.step: list[dict[str, int]] = [{}]
         own: dict[int, tuple[int, int]] = {}
         for p, i in ids.items():
@@ -86,7 +86,7 @@ class Codec:
     #: Longer words, in characters, are not kept, so that the cache is of bounded size.
     LONG = 64
 
-    def __init__(self, model: str, cache: int = 500_000, pairs: int = 1_000_000):
+    def __init__(self, model: str, cache: int = 200_000, pairs: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -230,6 +230,11 @@ class Codec:
                 del self.cache[w]
         return out
 
+    def forget(self) -> None:
+        """Let go of all words and pairs: a worker that waits for its next task, of whatever kind, holds no more than the model."""
+        self.cache.clear()
+        self.pairs.clear()
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
 
@@ -256,11 +261,12 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for part in portions(it, 1):
+        for part in portions(it, 1, 1000, 8 << 20):
             ids = c.encode_many(part.column(1).to_pylist())
             ends = np.cumsum([0, *map(len, ids)]).astype("i4")
             flat = np.concatenate([np.empty(0, "<i4"), *ids])
             yield batch(**{id_col: part.column(0)}, ids=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
+        c.forget()
 
     return arrow_pass(docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, ids array<int>")
 
@@ -284,7 +290,7 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in portions(it, 1):
+        for b in portions(it, 1, 1000, 8 << 20):
             n, crc, size, same = [], [], [], []
             texts = b.column(1).to_pylist()
             for t, ids in zip(texts, c.encode_many(texts), strict=True):
@@ -294,5 +300,6 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
                 size.append(len(back.encode()))
                 same.append(back == (t or ""))
             yield batch(**{id_col: b.column(0)}, n_pieces=pa.array(n, pa.int64()), ids_crc32=pa.array(crc, pa.int64()), n_bytes=pa.array(size, pa.int64()), round_trip=pa.array(same, pa.bool_()))
+        c.forget()
 
     return arrow_pass(docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, n_pieces long, ids_crc32 long, n_bytes long, round_trip boolean")
