@@ -16,7 +16,7 @@ from .functions import readings, syllables
 from .functions import text as T
 from .functions.alignment import view_column
 from .functions.sentences import count_column, sentence_column
-from .operators import frequency, lexical, morphology, ngrams, phonology, pos, punctuation, readability, sentence, workflows
+from .operators import frequency, kalyoncu, lexical, morphology, ngrams, phonology, pos, punctuation, readability, sentence, workflows
 from .params import DEFAULT
 from .plans.analyze import TAGGED_LEXICAL, analyze
 from .sources.segments import segment
@@ -856,6 +856,17 @@ def suffix_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls(morphology.with_suffixes(d, "_m", "_p"), "doc_id", *_SHOWN)
 
 
+_KNOWN = "the of and to in a is that it was for on are as with they be at one have this from or had by der die und en de la el le".split()
+
+
+@query()
+def kalyoncu_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Turkish readability components over analysed texts, with a short word list that stands in for the caller's."""
+    d = analysed(spark, sf_dir)
+    d = d.withColumn("_v", view_column("tr", set(d.columns)))
+    return nulls(d.withColumn("_k", kalyoncu.kalyoncu_column(F.col("_v"), _KNOWN)).select("doc_id", "_k.*"), "doc_id", *kalyoncu.KEYS)
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with heads by a rule: in sentences of up to ten neighbouring tokens, the first is the root, an even
     token hangs from the one before, an odd one from the first."""
