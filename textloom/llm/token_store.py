@@ -176,6 +176,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, width: int) -> Encoder:
+    """One encoder for each tokenizer and Python worker, so that a worker's next task knows the parts of the last one."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(path, width)
+    return _ENCODERS[path, width]
+
+
 _POWERS = np.ones(1, "u8"), np.ones(1, "u8")
 
 
@@ -265,7 +275,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     kind = f"<u{width}"
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, zc, seen = Encoder(tokenizer, width), zstandard.ZstdCompressor(level=1), set()
+        enc, zc, seen = encoder(tokenizer, width), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], kind).tobytes()
         for some in portions(it, 1, 2000, 6 << 20):
             if some.num_rows:
