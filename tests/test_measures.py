@@ -7,6 +7,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -403,6 +404,37 @@ def test_vocd_finds_the_least_squares():
     assert sampled.vocd([str(i) for i in range(100)], p) == pytest.approx(1e5)
 
 
+@pytest.mark.parametrize("n", [50, 51, 128, 277, 278, 300, 400, 401, 513, 1024, 5000, 70000])
+def test_vocd_draws_as_python_does(n):
+    """The places that texts of one length share are those of random.sample, and many texts together get what each gets."""
+    p = FeatureParams(vocd_num_samples=7, vocd_num_runs=2)
+    rng = random.Random(n)
+    texts = [[str(rng.randrange(30)) for _ in range(n)], [str(rng.randrange(9000)) for _ in range(n)]]
+    draw, sizes = random.Random(p.vocd_random_seed).sample, range(p.vocd_sample_min, p.vocd_sample_max + 1)
+    places, widths = sampled._samples(n, p)
+    cuts = [0, *itertools.accumulate(widths.tolist())]
+    assert [set(places[a:b].tolist()) for a, b in itertools.pairwise(cuts)] == [set(draw(range(n), k)) for _ in range(2) for k in sizes for _ in range(7)]
+    assert sampled.vocd_all([*texts, ["a"]], p)[:2] == [sampled.vocd(t, p) for t in texts]
+    codes = [sampled._numbered(t) for t in texts]
+    draw = random.Random(p.vocd_random_seed).sample
+    drawn = [draw(range(n), k) for _ in range(2) for k in sizes for _ in range(7)]
+    for c in codes:
+        plain = [sum(len(set(c[x].tolist())) for x in drawn[g : g + 7]) for g in range(0, len(drawn), 7)]
+        assert sampled._types(c, places, np.repeat(np.arange(len(widths)), widths), 2 * len(sizes), 7) == plain
+
+
+def test_vocd_of_many_texts_takes_little_time(spark):
+    """4,800 samples for each of 400 texts; drawn one by one they took over 20 seconds."""
+    rng = random.Random(3)
+    texts = [[str(rng.randrange(150)) for _ in range(300 + 5 * (i % 4))] for i in range(400)]
+    began = time.process_time()
+    found = sampled.vocd_all(texts, FeatureParams())
+    assert time.process_time() - began < 6 and not any(map(math.isnan, found))
+    df = spark.createDataFrame([(" ".join(t),) for t in texts[:3]] + [(None,)], "text string").coalesce(1)
+    out = df.select(sampled.vocd_of_texts(F.col("text"), "en", FeatureParams()).alias("d")).collect()
+    assert [r["d"] for r in out[:3]] == found[:3] and out[3]["d"] is None or math.isnan(out[3]["d"])
+
+
 def test_numbers_are_spelled():
     for n, said in {1_000_000: "bir milyon", 1000: "bin", 2100: "iki bin yüz", 101_001: "yüz bir bin bir", 10**14: "yüz trilyon", 0: "sıfır"}.items():
         assert readings.tr_number(str(n)) == said

@@ -181,7 +181,7 @@ def lexical_mtld(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_vocd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import sampled
 
-    return nulls(worded(documents(spark, sf_dir)).withColumn("vocd_d", T.rounded(sampled.vocd_column(F.col("_w"), DEFAULT), 4)), "doc_id", "vocd_d")
+    return nulls(documents(spark, sf_dir).withColumn("vocd_d", T.rounded(sampled.vocd_of_texts(F.col("text"), "en", DEFAULT), 4)), "doc_id", "vocd_d")
 
 
 _RANKS = "rk AS (SELECT doc_id, f::DOUBLE AS f, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, fp) AS r FROM t)"
