@@ -801,7 +801,8 @@ w2 AS (SELECT h.doc_id, any_value(h) AS h, any_value(f1) AS f1, coalesce(sum((h
 SELECT d.doc_id, {_r('2 * a / (h * (h - 1) * f1)', 6, 'h > 1')} AS thematic_concentration, {_r('b / (h * (2 * h - 1) * f1)', 6, 'h > 0.5')} AS secondary_thematic_concentration FROM documents d LEFT JOIN w2 ON w2.doc_id = d.doc_id"""
 )
 def thematic_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = viewed(spark, sf_dir).withColumn("_t", frequency.thematic_columns(F.col("_lem"), F.col("_pos")))
+    d = annotated(spark, sf_dir)
+    d = d.withColumn("_t", frequency.thematic_of_views("en", set(d.columns)))
     d = d.withColumns({"thematic_concentration": T.rounded(F.col("_t.first"), 6), "secondary_thematic_concentration": T.rounded(F.col("_t.second"), 6)})
     return nulls(d, "doc_id", "thematic_concentration", "secondary_thematic_concentration")
 
