@@ -765,10 +765,10 @@ SELECT d.doc_id, {_r('m', 4)} AS wordfreq_mean, {_r('r', 5)} AS wordfreq_rare_ra
 )
 def lexical_word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content lemmas met with a table of scores; the table stands in for a public one and lacks lemmas of four letters."""
-    d = viewed(spark, sf_dir)
-    table = d.select(F.explode("_lem").alias("lemma")).distinct().where(F.length("lemma") % 4 != 0)
+    d = annotated(spark, sf_dir)
+    table = d.select(F.explode("lemma_tokens").alias("lemma")).where(F.length("lemma") % 4 != 0).distinct()
     table = table.select(F.lit("en").alias("lang"), "lemma", (F.pmod(F.length("lemma") * 7 + F.ascii("lemma"), F.lit(56)) / 8.0).alias("zipf"))
-    return nulls(lexical.word_frequency(d, "doc_id", "_lem", "_pos", table, "en"), "doc_id", "wordfreq_mean", "wordfreq_rare_ratio")
+    return nulls(lexical.word_frequency_of_views(d, "doc_id", table, "en"), "doc_id", "wordfreq_mean", "wordfreq_rare_ratio")
 
 
 @query(
