@@ -435,6 +435,43 @@ def test_vocd_of_many_texts_takes_little_time(spark):
     assert [r["d"] for r in out[:3]] == found[:3] and out[3]["d"] is None or math.isnan(out[3]["d"])
 
 
+def test_view_measures_equal_those_of_carried_views(spark):
+    """Thematic concentration, word frequency and Kalyoncu's components, taken without sending the view back, are those of
+    the view, over analyses of many kinds, empty and null texts; the view is made in portions of tokens."""
+    from textloom import queries as Q
+    from textloom.functions import alignment as L
+
+    d = Q.analysed(spark, "/root/testdata/sf0.001").limit(60).drop("n_chars")
+    null = F.col("doc_id") % 7 == 3
+    d = d.withColumns({c: F.when(~null, F.col(c)) for c in d.columns if c != "doc_id"}).localCheckpoint()
+    for lang in ("en", "tr"):
+        v = d.withColumn("_v", L.view_column(lang, set(d.columns)))
+        v = v.withColumns({"_k": kalyoncu.kalyoncu_column(F.col("_v"), Q._KNOWN), "_t": frequency.thematic_columns(F.col("_v.lemmas"), F.col("_v.pos"))})
+        w = d.withColumns({"_k": kalyoncu.kalyoncu_of_views(lang, set(d.columns), Q._KNOWN), "_t": frequency.thematic_of_views(lang, set(d.columns))})
+        taken = ["doc_id", "_k.*", "_t.*"]
+        assert repr(sorted(map(tuple, v.select(taken).collect()))) == repr(sorted(map(tuple, w.select(taken).collect())))
+    table = d.select(F.lit("en").alias("lang"), F.explode("lemma_tokens").alias("lemma")).distinct().withColumn("zipf", F.length("lemma") * 1.25)
+    v = d.withColumn("_v", L.view_column("en", set(d.columns))).withColumns({"_l": F.col("_v.lemmas"), "_p": F.col("_v.pos")})
+    taken = ["doc_id", "wordfreq_mean", "wordfreq_rare_ratio"]
+    plain = sorted(map(repr, lexical.word_frequency(v, "doc_id", "_l", "_p", table, "en").select(taken).collect()))
+    assert plain == sorted(map(repr, lexical.word_frequency_of_views(d, "doc_id", table, "en").select(taken).collect()))
+    assert plain == sorted(map(repr, lexical.word_frequency_of_views(d, "doc_id", table, "en", most=5).select(taken).collect()))
+
+
+def test_views_are_made_in_portions():
+    """A batch of texts isn't turned into Python objects at once: at most 60,000 tokens are, or one text."""
+    import pyarrow as pa
+
+    from textloom.functions import alignment as L
+
+    tokens = pa.array([["a"] * n for n in (10, 59_990, 1, 100_000, 5, 5)])
+    assert [*L._portions(tokens)] == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    morpheme = lambda t: {"tag": t, "surface": None if t == "x" else t, "deriv": False}
+    rows = [[[morpheme("a"), morpheme("x")], [], [morpheme("a")]], None, [], [[morpheme("x"), morpheme("a")], [morpheme("a")], [morpheme("a"), morpheme("x")]]]
+    made = L.shared_morphemes(pa.array([None, *rows], type=pa.list_(L._M)).slice(1), {})
+    assert made == rows and made[0][0] is made[3][2] and made[0][2] is made[3][1]
+
+
 def test_numbers_are_spelled():
     for n, said in {1_000_000: "bir milyon", 1000: "bin", 2100: "iki bin yüz", 101_001: "yüz bir bin bir", 10**14: "yüz trilyon", 0: "sıfır"}.items():
         assert readings.tr_number(str(n)) == said

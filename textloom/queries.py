@@ -864,8 +864,7 @@ _KNOWN = "the of and to in a is that it was for on are as with they be at one ha
 def kalyoncu_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Turkish readability components over analysed texts, with a short word list that stands in for the caller's."""
     d = analysed(spark, sf_dir)
-    d = d.withColumn("_v", view_column("tr", set(d.columns)))
-    return nulls(d.withColumn("_k", kalyoncu.kalyoncu_column(F.col("_v"), _KNOWN)).select("doc_id", "_k.*"), "doc_id", *kalyoncu.KEYS)
+    return nulls(d.withColumn("_k", kalyoncu.kalyoncu_of_views("tr", set(d.columns), _KNOWN)).select("doc_id", "_k.*"), "doc_id", *kalyoncu.KEYS)
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
