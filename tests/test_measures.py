@@ -565,3 +565,21 @@ def test_heads_with_gaps_and_circles(spark):
     got = {r["id"]: tuple(None if math.isnan(v) else v for v in (r["arc_len_mean"], r["parse_depth_mean"])) for r in pos.with_dependencies(d, "dep").collect()}
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(plain(t), abs=2e-5, nan_ok=True) if None not in plain(t) else got[i] == plain(t), (i, t)
+
+
+def test_python_gets_narrow_rows(spark, tmp_path):
+    """Spark keeps the rows that wait for Python with all their columns: none of them is a working column."""
+    from textloom.queries import QUERIES
+
+    texts = ["Ali of the eve geldi. 3. kez mi? " * 4, "", None]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["corpus_feature_matrix"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+        if node.nodeName().startswith("ArrowEvalPython"):
+            out = node.child().output()
+            found.append({out.apply(i).name() for i in range(out.size())})
+    assert found and all(c <= {"doc_id", "text", "source", "folds", "_text"} for c in found)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays as A
-from .functions import readings, syllables
+from .functions import readings, sampled, syllables
 from .functions import text as T
 from .functions.alignment import view_column
 from .functions.sentences import count_column, sentence_column
@@ -172,15 +172,11 @@ r AS (SELECT doc_id, n, {_fold_sql('a')} AS a, {_fold_sql('b')} AS b FROM l), f
 SELECT d.doc_id, {_r('(n / a + n / b) / 2', 4, 'a > 0 AND b > 0')} AS mtld FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id"""
 )
 def lexical_mtld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions import sampled
-
     return nulls(worded(documents(spark, sf_dir)).withColumn("mtld", T.rounded(sampled.mtld_column(F.col("_w"), DEFAULT), 4)), "doc_id", "mtld")
 
 
 @query()
 def lexical_vocd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions import sampled
-
     return nulls(documents(spark, sf_dir).withColumn("vocd_d", T.rounded(sampled.vocd_of_texts(F.col("text"), "en", DEFAULT), 4)), "doc_id", "vocd_d")
 
 
@@ -980,8 +976,11 @@ def corpus_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures that need no model, of all texts under Turkish rules, but for voc-D, whose seeded samples have a query
     of their own."""
     groups = ["frequency_structure", "sentence", "paragraph", "phonological", "readability", "punctuation", "chars"]
-    m = analyze(documents(spark, sf_dir, "source"), "tr", groups, custom_ngrams=[["of", "the"]], warn=False)
+    low = F.transform(T.words(F.col("text"), "tr"), lambda w: T.lower(w, "tr"))
+    # MTLD is Python's, so it comes first, while rows are narrow
+    d = A.placed(documents(spark, sf_dir, "source"), {"folds": sampled.mtld_column(low, DEFAULT)})
+    m = analyze(d, "tr", groups, custom_ngrams=[["of", "the"]], warn=False)
     tagged = {*TAGGED_LEXICAL, "wordfreq_mean", "wordfreq_rare_ratio", "vocd_d"}
-    m = m.withColumn("_low", F.transform(T.words(F.col("text"), "tr"), lambda w: T.lower(w, "tr")))
-    m = lexical.with_lexical(m, "_low", T.is_blank(F.col("text")), lang="tr", only={*lexical.KEYS} - tagged)
-    return nulls(m, *(c for c in m.columns if not c.startswith("_") and c != "text"))
+    m = m.withColumn("_low", low)
+    m = lexical.with_lexical(m, "_low", T.is_blank(F.col("text")), lang="tr", only={*lexical.KEYS} - tagged, folds={"mtld": "folds"})
+    return nulls(m, *(c for c in m.columns if not c.startswith("_") and c not in ("text", "folds")))
