@@ -15,7 +15,7 @@ import pytest
 import zstandard
 
 from textloom.llm import decontaminate, html_extraction, jaccard_join, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_store, toxicity, url_filters
-from textloom.llm.common import components, labelled_sample, portions, shared_dir
+from textloom.llm.common import arrow_pass, components, labelled_sample, portions, shared_dir
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and house tree river stone cloud paper water light green blue walk speak under over after before".split()
@@ -890,3 +890,28 @@ def test_merkle_and_crc():
     assert len({token_store.merkle(names[:k]) for k in range(6)}) == 6
     a, b = b"abc" * 33, b"xy" * 50
     assert token_store.combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    """Small blocks below one that is still in use stay with a process unless it is asked to give them back."""
+
+    def used() -> float:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    class Here:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([1])))
+
+    kept = []
+
+    def fill(it):
+        for b in it:
+            blocks = [np.ones(8000) for _ in range(2000)]
+            kept.append(blocks[-1])
+            del blocks
+            yield b
+
+    before = used()
+    assert arrow_pass(Here(), fill, "id long") == [1]
+    assert used() - before < 60

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -52,8 +54,23 @@ def drop(spark: SparkSession, scratch: list[str], keep: int = 0) -> None:
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """A scan-side Python pass in Arrow batches, without a shuffle."""
-    return df.mapInArrow(fn, schema)
+    """A scan-side Python pass in Arrow batches, without a shuffle. A worker whose task has ended stays, and waits for
+    another one: until then it gives back what it has freed, which otherwise counts for its executor."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(it)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's, and that of the C library if it is one that can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def portions(it: Iterator[pa.RecordBatch], column: int, rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
