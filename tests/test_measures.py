@@ -521,6 +521,41 @@ def test_spread_at_its_limit_in_any_order(spark):
     assert zero["spread"] is None and zero["robust"] is None
 
 
+def test_spreads_near_a_limit_are_the_sqls(spark, tmp_path):
+    """Shares of types 0.8, 0.86 and 0.9 give a spread of 0.1171875, half-way between two numbers of six digits; as a quotient
+    of doubles it is below in any order, for SQL too."""
+    import duckdb
+    from textloom import queries as Q
+
+    def text(*types: int) -> str:
+        """10, 50 and 100 words with so many types."""
+        words, known = [], 0
+        for size, v in zip((10, 50, 100), types, strict=True):
+            new = [f"w{i}" for i in range(known, v)]
+            words += new + ["w0"] * (size - len(words) - len(new))
+            known = v
+        return " ".join(words)
+
+    rows = [(1, text(8, 43, 90)), (2, text(9, 43, 80)), (3, text(10, 50, 100)), (4, text(8, 45, 86)), (5, "too short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {(r["doc_id"], r["measure"]): (r["spread"], r["robust"]) for r in Q.length_sensitivity(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in out.items() if k[1] == "ttr"} == {(1, "ttr"): (0.117187, True), (2, "ttr"): (0.117187, True), (3, "ttr"): (0.0, True), (4, "ttr"): (0.117187, True)}
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert out == {(k, m): (s, r) for k, m, s, r in sql.execute(Q.SQL["length_sensitivity"]).fetchall()}
+
+
+def test_spread_of_ordered_lengths(spark):
+    """Values are added from the shortest length on, whatever the order of the rows; NaN and null are left out."""
+    values = [(10, 0.74), (50, 0.8), (100, 0.86)]
+    rows = [(k, n, v) for k, p in enumerate(itertools.permutations(values)) for n, v in p]
+    rows += [(7, 10, 0.8), (7, 50, math.nan), (7, 100, None), (8, 10, math.nan), (9, 10, None), (10, 10, 0.0)]
+    m = spark.createDataFrame(rows, "id int, size int, ttr double")
+    out = {r["id"]: (r["spread"], r["robust"]) for r in workflows.length_sensitivity(m, "id", ["ttr"], size="size").collect()}
+    spread = (0.86 - 0.74) / ((0.74 + 0.8 + 0.86) / 3)
+    assert out == dict.fromkeys(range(6), (spread, spread < 0.15)) | {7: (0.0, True), 9: (None, None), 10: (None, None)}
+
+
 def test_files_that_are_not_utf8_are_named(spark, tmp_path):
     for name, raw in {"a_x.txt": b"fine", "b_y.txt": b"ab\xff", "c_z.txt": "é".encode() + b"\xc3"}.items():
         (tmp_path / name).write_bytes(raw)

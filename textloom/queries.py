@@ -950,7 +950,7 @@ def matrix_nan_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT doc_id, measure, (max(x) - min(x)) / avg(x) AS s FROM m GROUP BY ALL) SELECT doc_id, measure, {_r('s', 6)} AS spread, s < 0.15 AS robust FROM s"""
 )
 def length_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = workflows.length_sensitivity(_growing(spark, sf_dir), "doc_id", ["ttr", "guiraud_r"])
+    s = workflows.length_sensitivity(_growing(spark, sf_dir), "doc_id", ["ttr", "guiraud_r"], size="size")
     return nulls(s.withColumn("spread", T.rounded(F.col("spread"), 6)), "doc_id", "measure", "spread", "robust")
 
 
