@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays as A
-from .functions import readings, sampled, syllables
+from .functions import one_pass, readings, sampled, syllables
 from .functions import text as T
 from .functions.alignment import view_column
 from .functions.sentences import count_column, sentence_column
 from .operators import frequency, kalyoncu, lexical, morphology, ngrams, phonology, pos, punctuation, readability, sentence, workflows
 from .params import DEFAULT
-from .plans.analyze import TAGGED_LEXICAL, analyze
+from .plans.analyze import analyze
+from .plans.registry import feature_keys
 from .sources.segments import segment
 from .vocab import ALPHABETS, BEZIRCI, EDGE_MARKS, SYLLABLE_VOWELS_TR, SYMBOLS, TOKEN
 
@@ -975,12 +976,8 @@ def quality_by_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures that need no model, of all texts under Turkish rules, but for voc-D, whose seeded samples have a query
     of their own."""
+    d = A.placed(documents(spark, sf_dir, "source"), {"_m": one_pass.measures_column(F.col("text"))})
     groups = ["frequency_structure", "sentence", "paragraph", "phonological", "readability", "punctuation", "chars"]
-    low = F.transform(T.words(F.col("text"), "tr"), lambda w: T.lower(w, "tr"))
-    # MTLD is Python's, so it comes first, while rows are narrow
-    d = A.placed(documents(spark, sf_dir, "source"), {"folds": sampled.mtld_column(low, DEFAULT)})
-    m = analyze(d, "tr", groups, custom_ngrams=[["of", "the"]], warn=False)
-    tagged = {*TAGGED_LEXICAL, "wordfreq_mean", "wordfreq_rare_ratio", "vocd_d"}
-    m = m.withColumn("_low", low)
-    m = lexical.with_lexical(m, "_low", T.is_blank(F.col("text")), lang="tr", only={*lexical.KEYS} - tagged, folds={"mtld": "folds"})
-    return nulls(m, *(c for c in m.columns if not c.startswith("_") and c not in ("text", "folds")))
+    keys = [*feature_keys("tr", groups), *one_pass.LEXICAL]
+    made = {k: F.col(f"_m.{one_pass.FIELDS[k]}") if k in one_pass.FIELDS else T.nan() for k in keys}
+    return nulls(d.select("doc_id", "source", *(x.alias(k) for k, x in made.items())), "doc_id", "source", *keys)
